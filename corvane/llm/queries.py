@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_token_files": "token_files",
     "op6_packing": "packing",
+    "op7_bpe_round_trip": "transducer",
 }
 
 
