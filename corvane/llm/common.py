@@ -64,10 +64,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def strings(column: pa.Array) -> pa.Array:
-    """The column as large strings, null as the empty string."""
+    """The column as large strings, null as the empty string, with buffers of its own rows only: some Arrow kernels go
+    wrong where the first offset isn't 0."""
+    import numpy as np
     import pyarrow.compute as pc
 
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    full = pc.fill_null(column.cast(pa.large_string()), "")
+    _, ends, data = full.buffers()
+    at = np.frombuffer(ends, np.int64)[full.offset : full.offset + len(full) + 1]
+    if not len(at) or data is None:
+        return pa.array([""] * len(full), pa.large_string())
+    return pa.Array.from_buffers(pa.large_string(), len(full), [None, pa.py_buffer(at - at[0]), data.slice(int(at[0]), int(at[-1] - at[0]))])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
