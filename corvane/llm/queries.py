@@ -12,6 +12,7 @@ MODULES = {
     "op2_token_files": "token_files",
     "op6_packing": "packing",
     "op7_bpe_round_trip": "transducer",
+    "op8_token_counts": "token_counts",
 }
 
 

@@ -38,6 +38,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = byte_letters()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocab = spec["model"]["vocab"] | special
+    out = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        out[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+    return out
+
+
 class Merges:
     """The vocabulary and merge list of a byte-level BPE file."""
 
@@ -47,17 +60,11 @@ class Merges:
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max(*vocab.values(), *self.special.values()) + 1
-        self.bytes: list[bytes] = [b""] * size
-        for token, i in vocab.items():
-            if token not in self.special:
-                self.bytes[i] = bytes(letters[c] for c in token)
-        for token, i in self.special.items():
-            self.bytes[i] = token.encode()
+        self.bytes = byte_table(path)
         self.of_byte = np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int64)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.size = size
+        self.size = len(self.bytes)
         self._hash()
         self.longest = max(len(self.bytes[c]) for _, _, c in self.pairs) if self.pairs else 1
         self.lookahead = self._lookahead()
