@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to the module that defines it.
 MODULES = {
     "op2_token_files": "token_files",
+    "op4_simhash": "simhash",
     "op6_packing": "packing",
     "op7_bpe_round_trip": "transducer",
     "op8_token_counts": "token_counts",
