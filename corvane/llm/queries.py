@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to the module that defines it.
 MODULES = {
+    "op1_language_id": "langid",
     "op2_token_files": "token_files",
     "op4_simhash": "simhash",
     "op6_packing": "packing",
