@@ -27,7 +27,7 @@ SAMPLE_DOCUMENTS = 1_500
 SAMPLE_CHARS = 400
 STEPS, BATCH, SPAN, RATE, SEED = 320, 128, 96, 0.012, 20
 #: Windows that are run side by side.
-ROWS = 2_048
+ROWS = 1_024
 
 
 @dataclass
@@ -136,45 +136,57 @@ def run_windows(net: Network, raw: np.ndarray, start: np.ndarray, length: np.nda
     must come longest first."""
     h_size, k = net.state.shape[1], len(net.languages)
     half = np.float32(0.5)
-    scale = np.ones(3 * h_size, np.float32)
-    scale[: 2 * h_size] = half  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-    byte, state = net.byte * scale, net.state * scale
+    # Update and reset gates are halved: sigmoid(x) = (1 + tanh(x / 2)) / 2. Each gate has arrays of its own.
+    parts = [(slice(j * h_size, (j + 1) * h_size), half if j < 2 else np.float32(1)) for j in range(3)]
+    byte = [[np.ascontiguousarray(net.byte[side][:, cut] * f) for cut, f in parts] for side in (0, 1)]
+    state = [[np.ascontiguousarray(net.state[side][:, cut] * f) for cut, f in parts] for side in (0, 1)]
+    out = [np.ascontiguousarray(net.out[side].T) for side in (0, 1)]
+    last = net.last[:, None]
     total = np.zeros((len(start), k), np.float32)
     for at in range(0, len(start), ROWS):
         begin, size = start[at : at + ROWS], length[at : at + ROWS]
         span = int(size[0]) if len(size) else 0
         active = np.searchsorted(-size, -np.arange(span), side="left")  # windows longer than t
-        ahead = np.empty((span, len(begin), k), np.float32)
+        whole = int(np.searchsorted(-size, -span, side="right"))
+        ahead = np.empty((span, k, len(begin)), np.float32)
+        sums = np.zeros((k, len(begin)), np.float32)
         for side in (0, 1):
             h = np.zeros((len(begin), h_size), np.float32)
+            at_byte = begin if side == 0 else begin + size - 1
             for t in range(span):
                 m = int(active[t])
                 h = h[:m]
-                g = byte[side].take(raw[begin[:m] + (t if side == 0 else size[:m] - 1 - t)], axis=0)
-                u = h @ state[side]
-                zr = g[:, : 2 * h_size]
-                zr += u[:, : 2 * h_size]
-                np.tanh(zr, out=zr)
-                zr *= half
-                zr += half
-                n = u[:, 2 * h_size :]
+                x = raw[at_byte[:m] + (t if side == 0 else -t)]
+                z, r, n = (h @ u for u in state[side])
+                z += byte[side][0].take(x, axis=0)
+                np.tanh(z, out=z)
+                z += np.float32(1)
+                z *= half
+                r += byte[side][1].take(x, axis=0)
+                np.tanh(r, out=r)
+                r += np.float32(1)
+                r *= half
                 n += net.bias[side]
-                n *= zr[:, h_size:]
-                n += g[:, 2 * h_size :]
+                n *= r
+                n += byte[side][2].take(x, axis=0)
                 np.tanh(n, out=n)
                 h = h - n
-                h *= zr[:, :h_size]
+                h *= z
                 h += n
+                scores = out[side] @ h.T
                 if side == 0:
-                    np.matmul(h, net.out[0], out=ahead[t, :m])
-                else:
-                    p = h @ net.out[1]
-                    p += ahead[size[:m] - 1 - t, np.arange(m)]
-                    p += net.last
-                    p -= p.max(axis=1, keepdims=True)
-                    np.exp(p, out=p)
-                    p /= p.sum(axis=1, keepdims=True)
-                    total[at : at + m] += p
+                    ahead[t, :, :m] = scores
+                    continue
+                full = min(whole, m)
+                scores[:, :full] += ahead[span - 1 - t, :, :full]
+                if full < m:
+                    scores[:, full:] += ahead[size[full:m] - 1 - t, :, np.arange(full, m)].T
+                scores += last
+                scores -= scores.max(axis=0)
+                np.exp(scores, out=scores)
+                scores /= scores.sum(axis=0)
+                sums[:, :m] += scores
+        total[at : at + len(begin)] = sums.T
     return total
 
 
