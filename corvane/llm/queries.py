@@ -15,6 +15,7 @@ MODULES = {
     "op6_packing": "packing",
     "op7_bpe_round_trip": "transducer",
     "op8_token_counts": "token_counts",
+    "op9_line_dedup": "line_dedup",
     "op10_imatch": "imatch",
 }
 
