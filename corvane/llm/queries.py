@@ -12,6 +12,7 @@ MODULES = {
     "op1_language_id": "langid",
     "op2_token_files": "token_files",
     "op4_simhash": "simhash",
+    "op5_embedding_dedup": "embed_dedup",
     "op6_packing": "packing",
     "op7_bpe_round_trip": "transducer",
     "op8_token_counts": "token_counts",
