@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_language_id": "langid",
     "op2_token_files": "token_files",
+    "op3_lm_score": "brown_lm",
     "op4_simhash": "simhash",
     "op5_embedding_dedup": "embed_dedup",
     "op6_packing": "packing",
