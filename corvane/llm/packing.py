@@ -24,7 +24,7 @@ from .token_files import tokenizer_path
 
 CAPACITY = 4096
 #: Rows of one length that are ranked in one task.
-RANKED = 5_000
+RANKED = 500
 
 Pattern = list[tuple[int, int]]
 
