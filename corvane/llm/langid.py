@@ -225,11 +225,11 @@ def _lower(text: str) -> bytes:
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of ``docs`` (any names but those added) with lang_pred and score. Text alone is read.
+    """All columns of ``docs`` with lang_pred and score, which replace columns of these names. Text alone is read.
 
     ``und`` with score 0 where text is null or has no letter, or where no language was learned; every other text gets a
     learned language, by all its bytes; empty tables give no rows; repeated rows are labelled alike."""
-    names = docs.columns
+    names = [n for n in docs.columns if n not in ("lang_pred", "score")]
     schema = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{n}`") for n in names]).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,12 +53,12 @@ def chunks_of(text: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with text cleaned, n_lines (before) and lines_removed (added).
+    """All columns of ``docs`` with text cleaned, n_lines (before) and lines_removed, which replace columns of these names.
 
     Null text is empty: one line, nothing removed. The order of places is doc_id (null first), then the MD5 of the text,
     then the line; rows with equal doc_id and text are one place each and are treated alike: both keep or both lose a
-    passage. An empty table gives no rows. Other columns are carried along, whatever their names but the added ones."""
-    names = docs.columns
+    passage. An empty table gives no rows. Other columns are carried along, whatever their names."""
+    names = [n for n in docs.columns if n not in ("n_lines", "lines_removed")]
     source = docs.withColumns({"__text": F.coalesce(F.col("text").cast("string"), F.lit("")), "__id": F.col("doc_id").cast("long")}).withColumn("__row", F.md5("__text"))
     pieces = source.select("__id", "__row", F.explode(chunks_of(F.col("__text"))).alias("c")).select("__id", "__row", "c.at", "c.n", "c.chunk", F.unhex(F.md5("c.chunk")).alias("key"))
     groups = pieces.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("__id", "__row", "at")).alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
