@@ -133,7 +133,7 @@ def equivalent(gold: Column, predicted: Column, kind: Column, absolute: float =
     gm, pm = matrix(gold), matrix(predicted)
     gs, ps = F.transform(items(gold), item_key), F.transform(items(predicted), item_key)
     flat = lambda m: F.flatten(m)
-    matrix_equal = (F.size(gm) == F.size(pm)) & (F.size(flat(gm)) == F.size(flat(pm))) & F.forall(F.arrays_zip(flat(gm).alias("a"), flat(pm).alias("b")), lambda z: F.coalesce(close(z[0], z[1], absolute=absolute), F.lit(False)))
+    matrix_equal = (F.size(gm) == F.size(pm)) & (F.size(flat(gm)) == F.size(flat(pm))) & F.forall(F.zip_with(flat(gm), flat(pm), lambda x, y: F.coalesce(close(x, y, absolute=absolute), F.lit(False))), lambda same: same)
     status = (
         F.when(kind.isin("integer", "rational"), verdict(g, p, F.abs(g - p) <= 1e-12 * F.greatest(F.lit(1.0), F.abs(g))))
         .when(kind == "decimal", verdict(g, p, close(g, p, absolute=absolute)))

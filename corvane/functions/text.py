@@ -10,6 +10,11 @@ WORD = r"[\p{L}\p{N}_]"
 UNITS = ("km", "cm", "mm", "m", "kg", "g", "hours?", "minutes?", "seconds?", "degrees?")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeezed(c: Column) -> Column:
     """Lower case, trimmed, each run of white space one space."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
@@ -48,8 +53,12 @@ def words(c: Column) -> Column:
 
 def shingles(tokens: Column, n: int) -> Column:
     """Distinct ``n``-grams; of fewer tokens than n, all of them as one; none of none."""
-    many = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.concat_ws(" ", F.slice(tokens, i + 1, n)))
-    return F.array_distinct(F.when(F.size(tokens) >= n, many).when(F.size(tokens) > 0, F.array(F.concat_ws(" ", tokens))).otherwise(F.array().cast("array<string>")))
+    return let(tokens, lambda t: _grams(t, n, " "))
+
+
+def _grams(t: Column, n: int, joiner: str) -> Column:
+    many = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat_ws(joiner, F.slice(t, i + 1, n)))
+    return F.array_distinct(F.when(F.size(t) >= n, many).when(F.size(t) > 0, F.array(F.concat_ws(joiner, t))).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -64,18 +73,27 @@ def containment(part: Column, whole: Column) -> Column:
 
 
 def counts(tokens: Column) -> Column:
-    """map<token, count>."""
-    return F.map_from_entries(F.transform(F.array_distinct(tokens), lambda t: F.struct(t, F.size(F.filter(tokens, lambda x: x == t)).cast("double"))))
+    """map<token, count>, by the lengths of equal runs in sorted order."""
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return let(F.struct(t.alias("t"), starts.alias("s")), lambda x: F.map_from_entries(F.transform(x["s"], lambda a, k: F.struct(F.get(x["t"], a), (F.coalesce(F.get(x["s"], k + 1), F.size(x["t"])) - a).cast("double")))))
+
+    empty = F.map_from_entries(F.array().cast("array<struct<k:string,v:double>>"))
+    return let(F.array_sort(tokens), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(empty))
 
 
 def pair_tfidf(a: Column, b: Column) -> Column:
     """Cosine of the tf-idf vectors of two token lists that are their own corpus: a shared token weighs 1, one of a
     single text ln(3 / 2) + 1. Both empty are equal, one empty shares nothing."""
-    ca, cb = counts(a), counts(b)
     alone = 1 + F.log(F.lit(1.5))
-    weight = lambda own, other: F.aggregate(F.map_entries(own), F.lit(0.0), lambda s, e: s + F.pow(e["value"] * F.when(F.map_contains_key(other, e["key"]), 1.0).otherwise(alone), F.lit(2.0)))
-    dot = F.aggregate(F.map_entries(ca), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(cb, e["key"]), F.lit(0.0)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(dot / F.sqrt(weight(ca, cb) * weight(cb, ca)))
+
+    def score(m: Column) -> Column:
+        ca, cb = m["a"], m["b"]
+        weight = lambda own, other: F.aggregate(F.map_entries(own), F.lit(0.0), lambda s, e: s + F.pow(e["value"] * F.when(F.map_contains_key(other, e["key"]), 1.0).otherwise(alone), F.lit(2.0)))
+        dot = F.aggregate(F.map_entries(ca), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(cb, e["key"]), F.lit(0.0)))
+        return dot / F.sqrt(weight(ca, cb) * weight(cb, ca))
+
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(let(F.struct(counts(a).alias("a"), counts(b).alias("b")), score))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -88,19 +106,18 @@ def cosine(a: Column, b: Column) -> Column:
 def ascii_shingles(c: Column, n: int = 2) -> Column:
     """Shingles for MinHash: words of ASCII letters, digits and underscores, and single other signs."""
     tokens = F.regexp_extract_all(F.lower(F.trim(c)), F.lit(r"([a-z0-9_]+|[^\p{L}\p{N}_\s])"), 1)
-    many = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.concat_ws("␟", F.slice(tokens, i + 1, n)))
-    return F.array_distinct(F.when(F.size(tokens) >= n, many).when(F.size(tokens) > 0, F.array(F.concat_ws("␟", tokens))).otherwise(F.array().cast("array<string>")))
+    return let(tokens, lambda t: _grams(t, n, "␟"))
 
 
 def minhash(items: Column, permutations: int) -> Column:
     """Signature by salted MD5: for each permutation the least first seven hex digits over all items, as a number."""
     salts = F.sequence(F.lit(0), F.lit(permutations - 1))
-    return F.transform(salts, lambda p: F.array_min(F.transform(items, lambda x: F.conv(F.substring(F.md5(F.concat(p.cast("string"), F.lit(":"), x)), 1, 7), 16, 10).cast("long"))))
+    return let(items, lambda own: F.transform(salts, lambda p: F.array_min(F.transform(own, lambda x: F.conv(F.substring(F.md5(F.concat(p.cast("string"), F.lit(":"), x)), 1, 7), 16, 10).cast("long")))))
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
     """Share of equal places of two signatures; two empty ones are equal."""
-    equal = F.size(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: z[0] == z[1]))
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
     return F.when(F.size(a) == 0, 1.0).otherwise(equal / F.size(a))
 
 
