@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import close, finite_double
+from .text import let
 
 # Answer types, their other names, and keywords that stand for them.
 TYPES = ("integer", "decimal", "rational", "percentage", "boolean", "text", "symbolic_expression", "equation", "inequality", "set", "interval", "ordered_tuple", "unordered_collection", "vector", "matrix", "unit_value", "multiple_choice")
@@ -65,13 +66,23 @@ def candidate(answer: Column) -> Column:
 
 def number(answer: Column, percentage: bool = False) -> Column:
     """A finite double of a decimal, fraction or percentage, commas ignored; null otherwise."""
-    t = F.replace(clean(answer), F.lit(","), F.lit(""))
-    percent = t.endswith("%")
-    t = F.trim(F.when(percent, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
-    whole = F.when(t.rlike(rf"^{NUMBER}(?:[eE][-+]?\d+)?$"), finite_double(t))
-    top, bottom = F.regexp_extract(t, r"^([-+]?\d+)/(\d+)$", 1), F.regexp_extract(t, r"^([-+]?\d+)/(\d+)$", 2)
-    x = F.coalesce(whole, F.try_divide(finite_double(top), finite_double(bottom)))
-    return F.when(percent, x / 100).when(F.lit(percentage) & (F.abs(x) > 1), x / 100).otherwise(x)
+
+    def read(t: Column) -> Column:
+        percent = t.endswith("%")
+        bare = F.trim(F.when(percent, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+        return let(F.struct(bare.alias("t"), percent.alias("percent")), parts)
+
+    def parts(s: Column) -> Column:
+        t = s["t"]
+        whole = F.when(t.rlike(rf"^{NUMBER}(?:[eE][-+]?\d+)?$"), t.try_cast("double"))
+        top, bottom = F.regexp_extract(t, r"^([-+]?\d+)/(\d+)$", 1).try_cast("double"), F.regexp_extract(t, r"^([-+]?\d+)/(\d+)$", 2).try_cast("double")
+        return let(F.struct(F.coalesce(whole, F.try_divide(top, bottom)).alias("x"), s["percent"].alias("percent")), scaled)
+
+    def scaled(s: Column) -> Column:
+        x = F.when(F.abs(s["x"]) < float("inf"), s["x"])
+        return F.when(s["percent"], x / 100).when(F.lit(percentage) & (F.abs(x) > 1), x / 100).otherwise(x)
+
+    return let(F.replace(clean(answer), F.lit(","), F.lit("")), read)
 
 
 def items(answer: Column) -> Column:
@@ -121,33 +132,46 @@ def matrix(answer: Column) -> Column:
 def equivalent(gold: Column, predicted: Column, kind: Column, absolute: float = 1e-6) -> Column:
     """struct<equivalent, status>: status is equal, different, or ambiguous where either side can't be read as its type;
     an ambiguous pair is not equivalent. Equations, inequalities and expressions are equal only as normalised text here."""
-    same_text = F.lower(clean(gold)) == F.lower(clean(predicted))
+    of = lambda kinds, value: F.when(kind.isin(*kinds), value)
+
+    def read(x: Column) -> Column:
+        """What ``x`` is as its type; only the reading that the type needs is worked out."""
+        return F.struct(
+            of(("integer", "rational", "decimal"), number(candidate(x))).alias("number"),
+            of(("percentage",), number(candidate(x), True)).alias("percent"),
+            of(("boolean",), boolean(x)).alias("boolean"),
+            of(("set", "unordered_collection", "ordered_tuple", "vector"), F.transform(items(x), item_key)).alias("items"),
+            of(("matrix",), matrix(x)).alias("matrix"),
+            of(("unit_value",), unit_value(x)).alias("unit"),
+            of(("interval",), interval(x)).alias("interval"),
+            F.lower(clean(x)).alias("text"),
+        )
 
     def verdict(left: Column, right: Column, equal: Column) -> Column:
         return F.when(left.isNull() | right.isNull(), "ambiguous").when(equal, "equal").otherwise("different")
 
-    g, p = number(candidate(gold)), number(candidate(predicted))
-    gp, pp = number(candidate(gold), True), number(candidate(predicted), True)
-    gu, pu = unit_value(gold), unit_value(predicted)
-    gi, pi = interval(gold), interval(predicted)
-    gm, pm = matrix(gold), matrix(predicted)
-    gs, ps = F.transform(items(gold), item_key), F.transform(items(predicted), item_key)
-    flat = lambda m: F.flatten(m)
-    matrix_equal = (F.size(gm) == F.size(pm)) & (F.size(flat(gm)) == F.size(flat(pm))) & F.forall(F.zip_with(flat(gm), flat(pm), lambda x, y: F.coalesce(close(x, y, absolute=absolute), F.lit(False))), lambda same: same)
-    status = (
-        F.when(kind.isin("integer", "rational"), verdict(g, p, F.abs(g - p) <= 1e-12 * F.greatest(F.lit(1.0), F.abs(g))))
-        .when(kind == "decimal", verdict(g, p, close(g, p, absolute=absolute)))
-        .when(kind == "percentage", verdict(gp, pp, close(gp, pp, absolute=absolute)))
-        .when(kind == "boolean", verdict(boolean(gold), boolean(predicted), boolean(gold) == boolean(predicted)))
-        .when(kind.isin("set", "unordered_collection"), verdict(gold, predicted, F.array_sort(gs) == F.array_sort(ps)))
-        .when(kind.isin("ordered_tuple", "vector"), verdict(gold, predicted, gs == ps))
-        .when(kind == "matrix", verdict(gm, pm, matrix_equal))
-        .when(kind == "unit_value", verdict(gu["value"], pu["value"], (gu["unit"] == pu["unit"]) & close(gu["value"], pu["value"], absolute=absolute)))
-        .when(kind == "interval", verdict(gi, pi, (item_key(gi["low"]) == item_key(pi["low"])) & (item_key(gi["high"]) == item_key(pi["high"])) & (gi["closed_left"] == pi["closed_left"]) & (gi["closed_right"] == pi["closed_right"])))
-        .when(kind.isin("text", "multiple_choice"), verdict(gold, predicted, same_text))
-        .otherwise(F.when(same_text, "equal").otherwise("ambiguous"))
-    )
-    return F.struct((status == "equal").alias("equivalent"), status.alias("status"))
+    def status_of(s: Column) -> Column:
+        g, p = s["g"], s["p"]
+        gm, pm, gi, pi = g["matrix"], p["matrix"], g["interval"], p["interval"]
+        shape = (F.size(gm) == F.size(pm)) & (F.size(F.flatten(gm)) == F.size(F.flatten(pm)))
+        matrix_equal = shape & F.forall(F.zip_with(F.flatten(gm), F.flatten(pm), lambda x, y: F.coalesce(close(x, y, absolute=absolute), F.lit(False))), lambda same: same)
+        interval_equal = (item_key(gi["low"]) == item_key(pi["low"])) & (item_key(gi["high"]) == item_key(pi["high"])) & (gi["closed_left"] == pi["closed_left"]) & (gi["closed_right"] == pi["closed_right"])
+        return (
+            F.when(kind.isin("integer", "rational"), verdict(g["number"], p["number"], F.abs(g["number"] - p["number"]) <= 1e-12 * F.greatest(F.lit(1.0), F.abs(g["number"]))))
+            .when(kind == "decimal", verdict(g["number"], p["number"], close(g["number"], p["number"], absolute=absolute)))
+            .when(kind == "percentage", verdict(g["percent"], p["percent"], close(g["percent"], p["percent"], absolute=absolute)))
+            .when(kind == "boolean", verdict(g["boolean"], p["boolean"], g["boolean"] == p["boolean"]))
+            .when(kind.isin("set", "unordered_collection"), verdict(gold, predicted, F.array_sort(g["items"]) == F.array_sort(p["items"])))
+            .when(kind.isin("ordered_tuple", "vector"), verdict(gold, predicted, g["items"] == p["items"]))
+            .when(kind == "matrix", verdict(gm, pm, matrix_equal))
+            .when(kind == "unit_value", verdict(g["unit"]["value"], p["unit"]["value"], (g["unit"]["unit"] == p["unit"]["unit"]) & close(g["unit"]["value"], p["unit"]["value"], absolute=absolute)))
+            .when(kind == "interval", verdict(gi, pi, interval_equal))
+            .when(kind.isin("text", "multiple_choice"), verdict(gold, predicted, g["text"] == p["text"]))
+            .otherwise(F.when(g["text"] == p["text"], "equal").otherwise("ambiguous"))
+        )
+
+    status = let(F.struct(read(gold).alias("g"), read(predicted).alias("p")), status_of)
+    return let(status, lambda s: F.struct((s == "equal").alias("equivalent"), s.alias("status")))
 
 
 def fused_verdict(typed: Column, judged: Column, judge_valid: Column, judge_required: Column, format_valid: Column, confidence: Column, least: float = 0.80) -> Column:

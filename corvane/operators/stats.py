@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.numeric import log_binomial_tail, t_critical
 
@@ -36,7 +37,7 @@ def unpaired(facts: DataFrame, cell: list[str], method: str, item: str, left: st
     return one.exceptAll(two).withColumn("only", F.lit(left)).unionByName(two.exceptAll(one).withColumn("only", F.lit(right)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_tail(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided exact McNemar p of discordant counts, in log space."""
     return pd.Series([1.0 if x + y == 0 else min(1.0, 2 * math.exp(log_binomial_tail(int(x + y), int(min(x, y))))) for x, y in zip(b, c, strict=True)])
