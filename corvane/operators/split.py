@@ -87,7 +87,7 @@ def cluster_split(df: DataFrame, cluster: str, balance: list[str], seed: int = 4
         return pd.DataFrame(out, columns=[cluster, "split"])
 
     kind = rows.schema[cluster].dataType.simpleString()
-    assigned = rows.groupBy(F.lit(0)).applyInPandas(run, f"{cluster} {kind}, split string")
+    assigned = rows.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, f"{cluster} {kind}, split string")
     return df.join(assigned, cluster)
 
 
