@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 OWN, TIED, CLASSES = 1_024, 256, 40
-FREQUENT, LONGEST = 150_000, 64
+FREQUENT, LONGEST = 100_000, 64
 SUFFIX = 3
 #: Smoothing: added to each word count, and the weight of the class distribution in each transition.
 ADD, BACK = 0.1, 20.0
@@ -101,7 +101,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield from given(summed())
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return common.bound_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def units_of(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -134,7 +134,7 @@ def bigrams(docs: DataFrame, model: Model) -> DataFrame:
             part = some[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part // size, pa.int32()), pa.array(part % size, pa.int32()), pa.array(total[part])], ["a", "b", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return common.bound_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     A null or empty text is its end alone; an unseen word has count 0 and the class of its last letters; rows with
     equal or null doc_id are scored each for itself; without any training text all base scores are 0; an empty table
     gives no rows; other columns are not read."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = common.bound_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "word string, row long, doc_id long, tf long, tokens long, known long, counted double, classed double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at in one go; larger Arrow batches are cut into such slices.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and a worker; a row is never cut.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,16 @@ def scratch(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are held to ``BATCH_BYTES``: rows are whole texts, and the default of 64 MB
+    a batch, buffered on both sides of the pipe, would fill an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if conf.get(key) != f"{BATCH_BYTES}b":
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later plans restart from files that any
     executor can read, so a lost executor never repeats what stands above, and lineage is cut."""
@@ -61,6 +73,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def strings(column: pa.Array) -> pa.Array:

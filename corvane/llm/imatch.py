@@ -76,7 +76,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
         if held:
             yield from given(summed())
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return common.bound_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def lexicon(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -> np.ndarray:
@@ -143,7 +143,7 @@ def spelled(prints: np.ndarray) -> list[str]:
 def fingerprint_documents(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """All columns of ``docs`` with fingerprint, which replaces a column of this name; null text is empty and has no term in any lexicon."""
     names = [n for n in docs.columns if n != "fingerprint"]
-    source = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{n}`") for n in names])
+    source = common.bound_batches(docs).select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{n}`") for n in names])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +159,7 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
     next one that has rows, the last with the first row of all. Texts are dealt once, each a zstandard frame, which
     shuffles a third less than text; bounds come from ids alone."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_pack, "key long, doc_id long, packed binary")
+    keyed = common.bound_batches(docs).select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_pack, "key long, doc_id long, packed binary")
     ids = docs.select(key.alias("key"))
     marks = sorted({int(x) for x in ids.approxQuantile("key", [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
     part = F.size(F.filter(F.array(*map(F.lit, marks)), lambda x: x < F.col("key"))) if marks else F.lit(0)

@@ -245,7 +245,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                     score = np.where(letters, np.clip(p.max(axis=1), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    source = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{n}`") for n in names])
+    source = common.bound_batches(docs).select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{n}`") for n in names])
     return source.mapInArrow(run, schema.drop("__text").schema)
 
 

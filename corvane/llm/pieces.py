@@ -40,7 +40,7 @@ def spaced_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class Pieces:
     """Keeps the ids of pieces seen; ``encode_many(list of str) -> list of id lists`` is asked for new ones only."""
 
-    def __init__(self, encode_many, cut, most: int = 600_000):
+    def __init__(self, encode_many, cut, most: int = 300_000):
         self.encode_many, self.cut, self.most = encode_many, cut, most
         self.clear()
 

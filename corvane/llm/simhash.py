@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         out[i] = fingerprint(np.concatenate([[0], spaces + 1, [len(raw) + 1]]), raw)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return common.bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 class Anchors:

@@ -98,7 +98,7 @@ def line_counts(docs: DataFrame, path: str, rule: str = "first", key: str = "doc
 
     A null or empty text is one section without tokens; null and repeated keys are carried along, each row for itself;
     an empty table gives no rows; other columns are not read. A document's n_tokens add up to its whole count."""
-    return docs.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(_run(path, rule, key), _schema(rule, key))
+    return common.bound_batches(docs).select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(_run(path, rule, key), _schema(rule, key))
 
 
 def field_counts(rows: DataFrame, key: str, fields: list[str], path: str, rule: str = "first", separator: str = "\n") -> DataFrame:
@@ -109,7 +109,7 @@ def field_counts(rows: DataFrame, key: str, fields: list[str], path: str, rule:
     for f in filled:
         starts.append(at)
         at = at + F.length(f) + len(separator)
-    made = rows.select(F.col(key).cast("long").alias(key), F.concat_ws(separator, *filled).alias("text"), F.array(*starts).cast("array<long>").alias("starts"))
+    made = common.bound_batches(rows).select(F.col(key).cast("long").alias(key), F.concat_ws(separator, *filled).alias("text"), F.array(*starts).cast("array<long>").alias("starts"))
     return made.mapInArrow(_run(path, rule, key), _schema(rule, key))
 
 

@@ -158,7 +158,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 out = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), out.cast(pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return common.bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def by_range(df: DataFrame, key: str, n: int, ids: DataFrame) -> DataFrame:
