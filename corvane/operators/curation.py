@@ -72,9 +72,9 @@ def lexical_scores(items: DataFrame, key: str, holdout: DataFrame, holdout_key:
 
     def side(df: DataFrame, k: str, c: str, n: int) -> DataFrame:
         grams = T.words(F.col(c)) if n == 1 else T.shingles(T.words(F.col(c)), 2)
-        flat = df.select(F.col(k), F.explode(grams).alias("g")).groupBy(k, "g").agg(F.count("*").cast("double").alias("c"))
-        w = W.partitionBy(k)
-        return flat.withColumns({"size": F.count("*").over(w), "squares": F.sum(F.col("c") * F.col("c")).over(w)})
+        counted = df.select(F.col(k), T.counts(grams).alias("m"))
+        squares = F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, v: s + v * v)
+        return counted.select(k, F.size("m").alias("size"), squares.alias("squares"), F.explode("m").alias("g", "c"))
 
     def met(n: int) -> DataFrame:
         a = side(items, key, text, n).withColumnsRenamed({"c": "ca", "size": "na", "squares": "sa"})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .common import cut
 
 
 def _ordered(df: DataFrame, tokens: str, key: str) -> DataFrame:
@@ -23,16 +24,16 @@ def prefix(tokens: Column, threshold: float) -> Column:
 def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """(left, right, similarity), left < right, of all pairs of at least ``threshold``, complete by prefix filtering.
     Sets without tokens pair with nothing; equal sets are compared once and expanded at the end."""
-    sets = df.where(F.size(tokens) > 0).withColumn("set_key", F.sha2(F.array_join(F.array_sort(tokens), "\x1f"), 256))
-    classes = sets.groupBy("set_key").agg(F.first(tokens).alias(tokens))
-    ordered = _ordered(classes, tokens, "set_key")
+    sets = cut(df.where(F.size(tokens) > 0).select(F.col(key).alias("id"), F.col(tokens).alias("tokens")).withColumn("set_key", F.sha2(F.array_join(F.array_sort("tokens"), "\x1f"), 256)))
+    classes = sets.groupBy("set_key").agg(F.first("tokens").alias("tokens"))
+    ordered = cut(_ordered(classes, "tokens", "set_key"))
     index = ordered.select("set_key", F.size("tokens").alias("n"), F.explode(prefix(F.col("tokens"), threshold)).alias("token"))
     a, b = index.alias("a"), index.alias("b")
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_key") < F.col("b.set_key")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold))
     likely = met.select(F.col("a.set_key").alias("x"), F.col("b.set_key").alias("y")).distinct()
     of = lambda k, v: ordered.select(F.col("set_key").alias(k), F.col("tokens").alias(v))
     found = likely.join(of("x", "_x"), "x").join(of("y", "_y"), "y").select("x", "y", T.jaccard(F.col("_x"), F.col("_y")).alias("similarity")).where(F.col("similarity") >= threshold)
-    members = sets.select("set_key", F.col(key).alias("id"))
+    members = sets.select("set_key", "id")
     same = members.alias("p").join(members.alias("q"), (F.col("p.set_key") == F.col("q.set_key")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("left"), F.col("q.id").alias("right"), F.lit(1.0).alias("similarity"))
     cross = found.join(members.withColumnsRenamed({"set_key": "x", "id": "i"}), "x").join(members.withColumnsRenamed({"set_key": "y", "id": "j"}), "y")
     return same.unionByName(cross.select(F.least("i", "j").alias("left"), F.greatest("i", "j").alias("right"), "similarity"))
