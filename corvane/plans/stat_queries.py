@@ -226,7 +226,7 @@ QUERIES = {
     "learning_curve_auc": (curve, f"WITH {facts_sql('cycle')}, a AS (SELECT method, seed, cycle, avg(CAST(is_correct AS INT)) AS v FROM facts GROUP BY ALL), l AS (SELECT *, lag(v) OVER w AS pv, lag(cycle) OVER w AS pc FROM a WINDOW w AS (PARTITION BY method, seed ORDER BY cycle)) SELECT method, seed, round(CASE WHEN max(cycle) > min(cycle) THEN sum((v + pv) / 2 * (cycle - pc)) / (max(cycle) - min(cycle)) ELSE max(v) END, 6) AS auc FROM l GROUP BY ALL"),
     "forgetting_rate": (forgetting, f"WITH {facts_sql('cycle')}, m AS (SELECT *, min(cycle) OVER w AS lo, max(cycle) OVER w AS hi FROM facts WINDOW w AS (PARTITION BY method, seed)), b AS (SELECT method, seed, question_id FROM m WHERE cycle = lo AND is_correct), a AS (SELECT method, seed, question_id, is_correct AS ok FROM m WHERE cycle = hi) SELECT method, seed, count(*) AS known_before, count_if(NOT coalesce(ok, false)) AS forgotten, round(count_if(NOT coalesce(ok, false)) / count(*), 6) AS forgetting_rate FROM b LEFT JOIN a USING (method, seed, question_id) GROUP BY ALL"),
     "retention_wilson": (retention, f"""WITH {facts_sql('cycle')}, y AS (SELECT * FROM facts WHERE method = 'A' AND seed = 1), x AS (SELECT CAST(b.question_id % 5 AS INT) AS dim, b.is_correct AS bc, a.is_correct AS ac FROM (SELECT * FROM y WHERE cycle = 1995) b LEFT JOIN (SELECT * FROM y WHERE cycle = 1996) a USING (question_id)),
-      g AS (SELECT dim, count_if(bc AND ac IS NOT NULL) AS known, count_if(bc AND NOT ac) AS forgotten, count_if(NOT bc AND ac) AS gained, count_if(ac IS NULL) AS unknown FROM x GROUP BY dim), z AS (SELECT *, 1.959963984540054::DOUBLE AS z, forgotten / known AS p FROM g)
+      g AS (SELECT dim, count_if(bc AND ac IS NOT NULL) AS known, count_if(bc AND NOT ac) AS forgotten, count_if(NOT bc AND ac) AS gained, count_if(ac IS NULL) AS unknown FROM x GROUP BY dim), z AS (SELECT *, 1.959963984540054::DOUBLE AS z, forgotten / nullif(known, 0) AS p FROM g)
       SELECT dim, known, forgotten, gained, unknown, round(p, 6) AS rate, round(CASE WHEN known > 0 THEN greatest(0.0, (p + z * z / (2 * known)) / (1 + z * z / known) - z * sqrt(p * (1 - p) / known + z * z / (4 * known * known)) / (1 + z * z / known)) END, 6) AS ci_low, round(CASE WHEN known > 0 THEN least(1.0, (p + z * z / (2 * known)) / (1 + z * z / known) + z * sqrt(p * (1 - p) / known + z * z / (4 * known * known)) / (1 + z * z / known)) END, 6) AS ci_high FROM z"""),
     "seed_summary_tci": (seed_summary, f"WITH {BY_SEED}, q AS (SELECT method, count(*) AS n, avg(accuracy) AS mean, stddev_samp(accuracy) AS std, min(accuracy) AS minimum, max(accuracy) AS maximum FROM s GROUP BY method) SELECT method, n, round(mean, 6) AS mean, round(std, 6) AS std, round(minimum, 6) AS minimum, round(maximum, 6) AS maximum, round(mean - {T6} * std / sqrt(n), 6) AS ci_low, round(mean + {T6} * std / sqrt(n), 6) AS ci_high FROM q"),
     "across_seed_table": (across_seeds, f"WITH {BY_SEED} SELECT method, count(*) AS n, round(avg(accuracy), 6) AS mean, string_agg(seed::VARCHAR, ',' ORDER BY seed) AS seeds, min(questions) AS questions FROM s GROUP BY method"),

@@ -183,7 +183,7 @@ def tumbling(spark, sf):
 
 def sliding(spark, sf):
     x = S.finished(S.sliding(stream_of(spark, sf), "1 day", "12 hours", ["event_type"], "60 days"), "complete")
-    return rounded(x, "mean", digits=4)
+    return x.select("window_start", "event_type", "n", F.round(F.col("mean") * F.col("n"), 3).alias("total"))
 
 
 def session(spark, sf):
@@ -249,7 +249,7 @@ QUERIES = {
     "guidance_topk": (guidance_topk, f"WITH {ITEMS} SELECT id, category, sub_category FROM items WHERE is_correct IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category, sub_category ORDER BY difficulty DESC, id) <= 3"),
     "diverse_selection": (diverse_selection, None),
     "tumbling_windows": (tumbling, "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
-    "sliding_windows": (sliding, "WITH w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 12 HOUR AS window_start, event_type, value FROM events, range(0, 2) r(k)) SELECT window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM w GROUP BY ALL"),
+    "sliding_windows": (sliding, "WITH w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 12 HOUR AS window_start, event_type, value FROM events, range(0, 2) r(k)) SELECT window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM w GROUP BY ALL"),
     "session_windows": (session, "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"),
     "stream_ledger": (stream_ledger, f"WITH {TOK} SELECT user_id, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS peak_tokens FROM e GROUP BY user_id"),
     "stream_decay": (stream_decay, "WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT day, event_type, n, round(n * exp(-0.1 * date_diff('day', day, DATE '2024-02-01')), 6) AS weighted FROM d"),
