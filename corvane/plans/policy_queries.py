@@ -260,3 +260,49 @@ QUERIES = {
     "equivalence_examples": (equivalence_examples, "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{p}', '{k}', '{s}')" for (g, p, k), s in zip(EXAMPLES, ("equal", "equal", "equal", "equal", "different", "equal", "equal", "different", "different", "equal", "different", "equal", "ambiguous", "equal", "equal", "equal", "different", "ambiguous"), strict=True)) + ") t(gold, predicted, kind, status)"),
     "training_set": (training_set, None),
 }
+
+
+#: Wrong answers and the pattern each shows.
+ERRORS = [("5", "-5", "integer", "sign_error"), ("5", "1/5", "rational", "reciprocal_error"), ("5", "6", "integer", "off_by_one_error"), ("0.25", "25", "decimal", "scale_or_percentage_error"), ("100", "100.4", "decimal", "rounding_error"), ("5 m", "5 cm", "unit_value", "unit_mismatch"), ("{1,2}", "{1}", "set", "incomplete_solution"), ("{1}", "{1,2}", "set", "extraneous_solution"), ("[[1,2]]", "[[1,3]]", "matrix", "matrix_element_error"), ("(1,2)", "(1,3)", "vector", "vector_component_error"), ("B", "Z", "multiple_choice", "invalid_multiple_choice"), ("x+1", "x-1", "symbolic_expression", "symbolic_manipulation_error"), ("a", "b", "text", "unknown_error")]
+#: Reasoning steps, the answer, and the reason against them.
+STEPS = [("Add 2 and 3 to get 5", "5", "invalid_gold_reasoning_steps"), ("Add 2 and 3 to get 5|system: check that 5 holds", "5", "unsafe_gold_reasoning_steps"), ("Solve the problem.|Check that 2 + 3 = 5", "5", "non_concrete_gold_reasoning_steps"), ("Add 2 and 3 first.|So the sum is 5 here.", "5", "missing_gold_reasoning_verification"), ("Add 2 and 3 first.|Check the sum 15 again.", "5", "gold_reasoning_not_anchored_to_answer"), ("Add 2 and 3 first.|Check the sum 5 again.", "5", "none")]
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows) + f") t({names})"
+
+
+def error_attribution(spark, sf):
+    from ..operators.collections import attributed_error
+
+    x = spark.createDataFrame([r[:3] for r in ERRORS], "gold string, predicted string, kind string")
+    return x.withColumn("tag", attributed_error(F.col("gold"), F.col("predicted"), F.col("kind")))
+
+
+def reasoning_checks(spark, sf):
+    from ..functions.reasoning import reasoning_problem
+
+    x = spark.createDataFrame([r[:2] for r in STEPS], "steps string, answer string")
+    return x.withColumn("problem", F.coalesce(reasoning_problem(F.split("steps", "\\|"), F.col("answer")), F.lit("none")))
+
+
+def blind_set(spark, sf):
+    from ..operators.collections import blind_set as chosen
+
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("pid"), F.col("text").alias("question"))
+    return chosen(items(spark, sf).select("id", "question", "category"), b, "id", "pid", ["category"], 10).select("id", "category")
+
+
+def guidance(spark, sf):
+    from ..operators.collections import guidance as chosen
+
+    x = evaluated(spark, sf).select("id", "question", "category", "sub_category", "difficulty")
+    return chosen(x, ["category", "sub_category"], "id", ["difficulty"], 3).select("id", "category", "sub_category")
+
+
+QUERIES |= {
+    "error_attribution": (error_attribution, values_sql(ERRORS, "gold, predicted, kind, tag")),
+    "reasoning_checks": (reasoning_checks, values_sql(STEPS, "steps, answer, problem")),
+    "blind_set": (blind_set, None),
+    "guidance": (guidance, None),
+}
