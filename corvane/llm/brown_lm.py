@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 classed = np.add.reduceat(steps, starts) if n else np.zeros(0)
                 doc = np.repeat(np.arange(n), np.diff(at))
                 seen = place[code] >= 0
-                counted = np.bincount(doc[seen], weights=logs[place[code[seen]]], minlength=n)
+                counted = np.bincount(doc[seen], weights=logs[place[code[seen]]], minlength=n).astype(float)  # of nothing: integers
                 known = np.bincount(doc[seen], minlength=n) + (m.ends > 0)
                 rare, tf = np.unique(doc[~seen] * max(1, len(words)) + code[~seen], return_counts=True)
                 rare_doc, rare_code = np.divmod(rare, max(1, len(words)))

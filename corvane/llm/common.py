@@ -17,7 +17,11 @@ BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Documents that come in fewer splits than there are cores are dealt to all of them, since work on a
+    text costs far more than moving it; inputs of many splits are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def scratch(spark: SparkSession) -> str:
