@@ -45,7 +45,7 @@ def compare_summary(spark, sf):
 
 def benchmark_summary(spark, sf):
     x = evaluated(spark, sf)
-    return x.agg(F.count("*").alias("total"), F.count_if("is_correct").alias("correct"), F.count_if(F.col("tool_violation")).alias("violations"), F.count_if(F.col("is_correct") & F.col("tool_violation")).alias("correct_violations"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg(F.abs(F.col("confidence") - F.col("is_correct").cast("double"))), 6).alias("mean_gap"), F.countDistinct("category", "sub_category").alias("groups"))
+    return x.agg(F.count("*").alias("total"), F.count_if("is_correct").alias("correct"), F.count_if(F.col("tool_violation")).alias("violations"), F.count_if(F.col("is_correct") & F.col("tool_violation")).alias("correct_violations"), F.round(F.avg("confidence"), 9).alias("mean_confidence"), F.round(F.avg(F.abs(F.col("confidence") - F.col("is_correct").cast("double"))), 9).alias("mean_gap"), F.countDistinct("category", "sub_category").alias("groups"))
 
 
 def weakest(spark, sf):
@@ -229,7 +229,7 @@ QUERIES = {
     "candidate_source_mix": (candidate_mix, rf"""WITH {ITEMS}, a AS (SELECT *, {ACC} AS acc FROM items) SELECT CASE WHEN regexp_matches(question, '^\s*$') THEN 'format' WHEN coalesce(is_correct, false) THEN 'correct' WHEN acc BETWEEN 0.1 AND 0.4 THEN 'boundary' ELSE 'repair' END AS training_source, count(*) AS n FROM a GROUP BY 1"""),
     "quality_score": (quality, f"WITH {ITEMS}, a AS (SELECT *, {ACC} AS acc FROM items) SELECT id, round(0.6 * confidence + 0.3 * exp(-abs(acc - 0.2) / 0.15) + least(length(question) / 300.0, 0.1), 6) AS quality, CASE WHEN acc < 0.1 THEN 'hard_unsuitable' WHEN acc <= 0.4 THEN 'train_eligible' ELSE 'easy_sample' END AS grade FROM a"),
     "compare_summary": (compare_summary, f"WITH {EV} SELECT CASE WHEN grouping(category) = 0 THEN 'category+sub_category' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'all' END AS level, category, sub_category, difficulty, count(*) AS total, count_if(is_correct) AS correct, round(avg(CAST(is_correct AS INT)), 6) AS accuracy FROM ev GROUP BY GROUPING SETS ((category, sub_category), (difficulty), ())"),
-    "benchmark_summary": (benchmark_summary, f"WITH {EV} SELECT count(*) AS total, count_if(is_correct) AS correct, count_if(tool_violation) AS violations, count_if(is_correct AND tool_violation) AS correct_violations, round(avg(confidence), 6) AS mean_confidence, round(avg(abs(confidence - CAST(is_correct AS INT))), 6) AS mean_gap, count(DISTINCT (category, sub_category)) AS groups FROM ev"),
+    "benchmark_summary": (benchmark_summary, f"WITH {EV} SELECT count(*) AS total, count_if(is_correct) AS correct, count_if(tool_violation) AS violations, count_if(is_correct AND tool_violation) AS correct_violations, round(avg(confidence), 9) AS mean_confidence, round(avg(abs(confidence - CAST(is_correct AS INT))), 9) AS mean_gap, count(DISTINCT (category, sub_category)) AS groups FROM ev"),
     "weakest_groups": (weakest, f"WITH {EV} SELECT category, sub_category, count(*) AS n, round(avg(CAST(is_correct AS INT)), 6) AS accuracy FROM ev GROUP BY ALL ORDER BY avg(CAST(is_correct AS INT)), n DESC, category, sub_category LIMIT 10"),
     "coverage_metrics": (coverage_metrics, f"""WITH {EV}, {DIM}, c AS (SELECT dim.category, dim.sub_category, quota, count(ev.id) AS n FROM dim LEFT JOIN ev USING (category, sub_category) GROUP BY ALL), t AS (SELECT sum(n) AS total, count(*) AS k FROM c),
       p AS (SELECT n, quota, k, total, CASE WHEN total > 0 THEN n / total ELSE 0.0 END AS p, 1.0 / k AS u FROM c, t), m AS (SELECT *, (p + u) / 2 AS m FROM p)

@@ -149,7 +149,7 @@ def spearman(spark, sf):
 
 
 def bins(spark, sf):
-    return rounded(calibration.calibration_bins(evaluated(spark, sf), "confidence", "is_correct"), "mean_predicted", "mean_observed")
+    return rounded(calibration.calibration_bins(evaluated(spark, sf), "confidence", "is_correct"), "mean_predicted", "mean_observed", digits=9)
 
 
 def panel(spark, sf):
@@ -250,7 +250,7 @@ QUERIES = {
     "ratio_train": (ratio_train, f"WITH {EV}, n AS (SELECT least(count_if(is_correct), count_if(NOT is_correct) // 3) AS b FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY is_correct ORDER BY id) AS k FROM ev) SELECT is_correct, count(*) AS n, max(id) AS last FROM r, n WHERE k <= CASE WHEN is_correct THEN b ELSE 3 * b END GROUP BY is_correct"),
     "hash_folds": (folds, f"WITH {ITEMS} SELECT CAST({FOLD.format(k=5)} AS INT) AS fold, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM items GROUP BY 1"),
     "spearman": (spearman, "WITH x AS (SELECT o_orderpriority, o_totalprice AS a, o_custkey % 50 AS b FROM orders), r AS (SELECT o_orderpriority, rank() OVER (PARTITION BY o_orderpriority ORDER BY a) + (count(*) OVER (PARTITION BY o_orderpriority, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY o_orderpriority ORDER BY b) + (count(*) OVER (PARTITION BY o_orderpriority, b) - 1) / 2.0 AS rb FROM x) SELECT o_orderpriority, count(*) AS n, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY o_orderpriority"),
-    "calibration_bins": (bins, f"WITH {EV}, b(low, high) AS (VALUES (0.0::DOUBLE, 0.2::DOUBLE), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8), (0.8, 1.01)) SELECT low, high, count(confidence) AS n, round(avg(confidence), 6) AS mean_predicted, round(avg(CAST(is_correct AS INT)), 6) AS mean_observed FROM b LEFT JOIN ev ON confidence >= low AND confidence < high GROUP BY ALL"),
+    "calibration_bins": (bins, f"WITH {EV}, b(low, high) AS (VALUES (0.0::DOUBLE, 0.2::DOUBLE), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8), (0.8, 1.01)) SELECT low, high, count(confidence) AS n, round(avg(confidence), 9) AS mean_predicted, round(avg(CAST(is_correct AS INT)), 9) AS mean_observed FROM b LEFT JOIN ev ON confidence >= low AND confidence < high GROUP BY ALL"),
     "irt_1pl": (irt, None),
     "panel_quality": (panel_quality, "WITH p AS (SELECT DISTINCT user_id % 12 AS model, event_type || '-' || (hour(ts) % 4) AS item FROM events), n AS (SELECT count(DISTINCT model) AS m, count(DISTINCT item) AS i FROM p), a AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM p GROUP BY model)), b AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM p GROUP BY item)) SELECT round((SELECT count(*) FROM p) / (m * i), 6) AS coverage, round(a.c / i, 6) AS least_model_coverage, round(b.c / m, 6) AS least_item_coverage FROM n, a, b"),
     "panel_schedule": (schedule, "SELECT r_name, count(*) AS n, CAST(sum(item_id) AS BIGINT) AS ids FROM benchmark, region GROUP BY r_name"),
