@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import common, langid, line_dedup, packing, simhash
+from corvane.llm import common, langid, line_dedup, near_copies, packing
 from corvane.llm.token_files import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,9 +36,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id; of rows that share this doc_id, one.
+    """One document of each group of near duplicates (4 differing bits, or a five-word similarity of 0.8), that of the
+    smallest doc_id; of rows that share this doc_id, one.
     In a group without any doc_id each different text stays."""
-    keep = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    keep = near_copies.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     chosen = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*COLUMNS)
     mark = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit(""))))
     return chosen.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"]).select(*COLUMNS)

@@ -42,19 +42,40 @@ JOIN_FROM = 1 << 24
 CHUNK = 1 << 16
 
 
-def fingerprint(words: np.ndarray, text: bytes) -> int:
-    """``text`` is the words joined by single spaces; ``words`` are their starts, then len(text) + 1."""
+def hashes_of(words: np.ndarray, text: bytes) -> np.ndarray:
+    """The hashes of the shingles of ``text``, which is the words joined by single spaces; ``words`` are their starts, then
+    len(text) + 1."""
     n = len(words) - 1
     if n < 1:
-        return 0
+        return np.zeros(0, np.uint64)
     k = min(n, SHINGLE)
-    first, last = words[: n - k + 1].tolist(), (words[k:] - 1).tolist()
+    first, last = words[: n - k + 1], words[k:] - 1
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    out = np.zeros(len(first), np.uint64)
     for at in range(0, len(first), CHUNK):
-        hashes = np.array([digest(text[a:b], SEED) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK], strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first), bitorder="little").view("<u8")[0])
+        out[at : at + CHUNK] = [digest(text[a:b], SEED) for a, b in zip(first[at : at + CHUNK].tolist(), last[at : at + CHUNK].tolist(), strict=True)]
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(words: np.ndarray, text: bytes) -> int:
+    return majority(hashes_of(words, text))
+
+
+def cut_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Each text's words, as ``hashes_of`` takes them; null is empty."""
+    clean = pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.ascii_lower(common.strings(texts)), "[\\x20\\x09-\\x0D]+", " "))
+    for t in clean:
+        raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+        yield (np.concatenate([[0], spaces + 1, [len(raw) + 1]]) if raw else np.zeros(1, np.int64)), raw
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -63,13 +84,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
-                texts = pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.ascii_lower(common.strings(part.column("text"))), "[\\x20\\x09-\\x0D]+", " "))
-                out = np.zeros(len(texts), np.uint64)
-                for i, t in enumerate(texts):
-                    raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-                    if raw:
-                        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
-                        out[i] = fingerprint(np.concatenate([[0], spaces + 1, [len(raw) + 1]]), raw)
+                out = np.array([fingerprint(words, raw) for words, raw in cut_words(part.column("text"))], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     return common.bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
@@ -199,9 +214,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null, empty or blank text has fingerprint zero, linked like any other; a text of fewer than four words is one
     shingle; rows without doc_id take part and have component_id null only if no id is reachable; repeated rows stay;
     an empty table gives no rows; other columns are not read."""
-    prints = common.staged(fingerprints(docs), "fingerprints")
+    return grouped(common.staged(fingerprints(docs), "fingerprints"))
+
+
+def grouped(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """The components of ``prints`` (doc_id, fp), whose links ``more`` (a, b: fingerprints) adds to."""
     least = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = common.components(links(least, least.count()))
+    edges = links(least, least.count())
+    parts = common.components(edges if more is None else edges.unionByName(more))
     grouped = least.join(parts, least["fp"] == parts["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     found = grouped.join(lowest, "root").select("fp", "component_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline
 from corvane.llm import common, line_dedup, packing, queries, simhash
 from corvane.llm.token_files import tokenizer_path
@@ -28,6 +30,35 @@ def test_stages_on_documents(spark, documents, sf_dir):
             assert docs.count() == packing.pack(before, tokenizer_path("word_bpe_49k.json")).count()
 
 
+def test_near_copies_that_differ_in_many_bits_go(spark):
+    """The stage's groups are those of brute force over five-word similarity 0.8 and 4 differing bits."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(24):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+        rows.append((10 * k, " ".join(words)))
+        for c, edits in enumerate((5, 6, 9)):
+            copy = list(words)
+            for at in rng.choice(np.arange(5, 295, 10), edits, replace=False):
+                copy[at] = f"x{rng.integers(0, 50_000)}"
+            rows.append((10 * k + 1 + c, " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    fp = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(docs).collect()}
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(296)} for i, t in rows}
+    root = {i: i for i, _ in rows}
+    missed = 0
+    for i, _ in rows:
+        for j in (x for x in sets if x < i):
+            alike, close = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]), (fp[i] ^ fp[j]).bit_count() <= 4
+            missed += alike and not close
+            if alike or close:
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    assert missed > 10 and 24 < len(set(root.values())) < 96
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == sorted(set(root.values()))
+
+
 def test_stages_on_an_empty_table(spark, nothing, sf_dir):
     docs = nothing
     for name, stage in corpus_pipeline.STAGES:
