@@ -96,17 +96,20 @@ def near_leaks(items: DataFrame, key: str, holdout: DataFrame, holdout_key: str,
     return scored.groupBy(key).agg(F.min(F.struct(holdout_key, "similarity")).alias("m")).select(key, f"m.{holdout_key}", "m.similarity")
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def greedy_keep(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, kept): the first maximal independent set in order of ``nodes.rank``, unique numbers. ``edges`` (a, b) join
     ranks. A node without an undecided earlier neighbour is decided in each round: dropped if an earlier one is kept,
-    else kept. Rounds are checkpointed; only their counts reach the driver."""
+    else kept. Rounds are checkpointed; only their counts reach the driver. Each round decides the first open node at least, so
+    they end; with ``most_rounds``, edges that are open after so many raise an error."""
     ordered = edges.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("then")).where("first <> then").distinct()
     left = cut(ordered)
     decided = None
     state = cut(nodes.select(F.col("rank"), F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    rounds = 0
+    while not left.isEmpty():
+        if rounds == most_rounds:
+            raise RuntimeError("greedy choice did not settle")
+        rounds += 1
         waiting = left.select(F.col("then").alias("rank")).distinct()
         sure = state.where("kept IS NULL").join(waiting, "rank", "left_anti").select("rank")  # nothing earlier is open
         sure = cut(sure)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import itertools
 import json
 import math
@@ -266,3 +267,13 @@ def test_streams_keep_state_over_batches(spark, tmp_path):
     stream = events.read(spark, src, "event_id long, ts timestamp, sample long, is_correct boolean", files_per_batch=1)
     got = events.finished(events.lifecycle(stream, "sample"), "update").groupBy("sample").agg(F.max("tests").alias("tests"), F.max("failures").alias("failures")).collect()
     assert {r["sample"]: (r.tests, r.failures) for r in got} == {s: (15, sum(1 for i, _, k, ok in rows if k == s and not ok)) for s in (0, 1)}
+
+
+def test_greedy_choice_is_whole_or_fails(spark):
+    """A chain keeps every second node however many rounds it takes; a limit that is too low is an error."""
+    nodes = spark.range(9).select(F.col("id").alias("rank"))
+    chain = spark.range(8).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["rank"] for r in curation.greedy_keep(nodes, chain).where("kept").collect()} == {0, 2, 4, 6, 8}
+    assert inspect.signature(curation.greedy_keep).parameters["most_rounds"].default is None
+    with pytest.raises(RuntimeError):
+        curation.greedy_keep(nodes, chain, 2)
