@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .common import cut, reasons
+from .pairs import jaccard_pairs
 
 # The wanted shares of sources among wrong answers.
 WRONG_MIX = (("boundary", 0.55), ("repair", 0.15), ("format", 0.05))
@@ -122,6 +123,19 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = No
     return (decided or state).select("rank", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
+def near_unique(df: DataFrame, key: str, text: str, quality: str, threshold: float = 0.9) -> DataFrame:
+    """Rows without those whose word pairs have a Jaccard similarity of ``threshold`` to a kept row of better quality, the
+    smaller key of equals."""
+    x = cut(df)
+    links = cut(jaccard_pairs(x.select(key, T.shingles(T.words(F.col(text)), 2).alias("s")), key, "s", threshold))
+    linked = links.select(F.col("left").alias(key)).unionByName(links.select(F.col("right").alias(key))).distinct()
+    ranks = cut(x.join(linked, key).select(key, F.struct((-F.col(quality)).alias("q"), F.col(key).alias("k")).alias("rank")))
+    of = lambda end, name: ranks.select(F.col(key).alias(end), F.col("rank").alias(name))
+    edges = links.join(of("left", "a"), "left").join(of("right", "b"), "right").select("a", "b")
+    gone = greedy_keep(ranks.select("rank"), edges).where(~F.col("kept")).select(F.col("rank.k").alias(key))
+    return x.join(gone, key, "left_anti")
+
+
 def mix_targets(correct: int, wrong: int, share_correct: float = 0.25, block: int = 4) -> tuple[int, int]:
     """How many correct and wrong items make whole blocks of the wanted share."""
     from fractions import Fraction

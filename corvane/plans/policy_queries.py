@@ -171,17 +171,23 @@ def equivalence_examples(spark, sf):
 
 
 def training_set(spark, sf):
-    """The curated training set: rejected and leaked rows out, exact duplicates and repeated templates out, then the mix."""
+    """The mix of the curated training set: how many rows of each source, and their quality."""
+    y = curation.select_mix(curated(items(spark, sf), table(spark, sf, "benchmark")), "training_source", "quality", "exact_signature", 0.25)
+    return y.groupBy("training_source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+
+
+def curated(graded, holdout):
+    """Graded items without rejected, leaked and nearly leaked rows, exact and near duplicates and repeated templates."""
     from ..functions import text as T
 
-    x = summary.group_accuracy(items(spark, sf), ["category", "sub_category"])
+    x = summary.group_accuracy(graded, ["category", "sub_category"])
     x = x.withColumn("reasons", curation.rejection_reasons(["question", "gold_answer", "tool_violation", "is_correct"])).where(F.size("reasons") == 0)
-    x = x.join(curation.exact_leaks(x, "id", table(spark, sf, "benchmark"), "item_id").select("id"), "id", "left_anti")
+    x = cut(x.join(curation.exact_leaks(x, "id", holdout, "item_id").select("id"), "id", "left_anti"))
+    x = x.join(curation.near_leaks(x, "id", holdout, "item_id").select("id"), "id", "left_anti")
     x = x.withColumns({"quality": D.quality_score(F.col("confidence"), F.col("group_accuracy"), F.length("question")), "exact_signature": T.exact_signature(F.col("question"), F.col("gold_answer"), F.col("category"), F.col("sub_category")), "template_signature": F.sha2(T.template(F.col("question")), 256)})
     x = curation.keep_best(x, ["exact_signature"], "quality", "id")
-    x = cut(curation.cap_per_key(x, "template_signature", 5, "quality", "id").withColumn("training_source", D.candidate_source(F.lit(False), F.col("is_correct"), F.col("group_accuracy"), F.lit(""))))
-    y = curation.select_mix(x, "training_source", "quality", "exact_signature", 0.25)
-    return y.groupBy("training_source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+    x = curation.near_unique(x, "id", "question", "quality")
+    return cut(curation.cap_per_key(x, "template_signature", 5, "quality", "id").withColumn("training_source", D.candidate_source(F.lit(False), F.col("is_correct"), F.col("group_accuracy"), F.lit(""))))
 
 
 ACC = "coalesce(avg(CAST(is_correct AS INT)) OVER (PARTITION BY category, sub_category), 0.0)"

@@ -277,3 +277,14 @@ def test_greedy_choice_is_whole_or_fails(spark):
     assert inspect.signature(curation.greedy_keep).parameters["most_rounds"].default is None
     with pytest.raises(RuntimeError):
         curation.greedy_keep(nodes, chain, 2)
+
+
+def test_curated_set_has_no_near_copies(spark):
+    """Near copies of a benchmark item go; of near copies of each other the one of best quality stays."""
+    from corvane.plans.policy_queries import curated
+
+    held, one, other = (" ".join(f"{c}{k}x" for k in range(60)) for c in ("held", "one", "other"))
+    rows = [(1, held + " more"), (2, one), (3, one + " end"), (4, other)]
+    items = spark.createDataFrame([(i, q, "7", "en", "s", True, False, 3, 0, 0.5 + i / 10) for i, q in rows], "id long, question string, gold_answer string, category string, sub_category string, is_correct boolean, tool_violation boolean, difficulty int, cycle int, confidence double")
+    holdout = spark.createDataFrame([(1, held)], "item_id long, text string")
+    assert {r.id for r in curated(items, holdout).collect()} == {3, 4}
