@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,14 @@ def best_match(items: DataFrame, key: str, tokens: str, others: DataFrame, other
     return scored.groupBy(key).agg(F.max_by(F.struct(other_key, "similarity"), F.struct("similarity", -F.col(other_key))).alias("m")).select(key, f"m.{other_key}", "m.similarity")
 
 
-def minhash_pairs(df: DataFrame, key: str, items: str, permutations: int, bands: int, threshold: float) -> DataFrame:
-    """(left, right, similarity) of pairs that share a band of their signatures and agree in ``threshold`` of all places."""
-    rows = permutations // bands
+def minhash_pairs(df: DataFrame, key: str, items: str, permutations: int, bands: int | None, threshold: float) -> DataFrame:
+    """(left, right, similarity) of pairs that share a band of their signatures and agree in ``threshold`` of all places.
+    Without ``bands`` there is one more than places may differ, so that every such pair shares one."""
+    if bands is None:
+        bands = permutations - math.ceil(permutations * threshold - 1e-9) + 1
+    at = [b * permutations // bands for b in range(bands + 1)]
     signed = df.where(F.size(items) > 0).select(key, T.minhash(F.col(items), permutations).alias("sig"))
-    banded = signed.select(key, "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_join(F.slice("sig", b * rows + 1, rows), ","))).alias("band", "value"))
+    banded = signed.select(key, "sig", F.posexplode(F.array(*[F.array_join(F.slice("sig", i + 1, j - i), ",") for i, j in zip(at[:-1], at[1:], strict=True)])).alias("band", "value"))
     a, b = banded.alias("a"), banded.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
     scored = met.select(F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), T.signature_similarity(F.col("a.sig"), F.col("b.sig")).alias("similarity"))

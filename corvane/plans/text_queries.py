@@ -78,6 +78,13 @@ def minhash_pairs(spark, sf):
     return p.select("left", "right", F.round("similarity", 6).alias("similarity"))
 
 
+def minhash_pairs_all(spark, sf):
+    """``minhash_pairs`` over all of documents and benchmark, complete at the threshold."""
+    x = table(spark, sf, "benchmark").select("item_id", "text").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1_000_000_000).alias("item_id"), "text"))
+    p = pairs.minhash_pairs(cut(x.select("item_id", T.ascii_shingles(F.col("text")).alias("s"))), "item_id", "s", 32, None, 0.7)
+    return p.select("left", "right", F.round("similarity", 6).alias("similarity"))
+
+
 def embedding_topk(spark, sf):
     e = table(spark, sf, "embeddings")
     x = pairs.top_cosine(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
@@ -198,6 +205,7 @@ QUERIES = {
       z AS (SELECT item_id, {MINHASH.format(p=32)} AS sig FROM y), b AS (SELECT item_id, sig, k, array_to_string(sig[k * 4 + 1 : k * 4 + 4], ',') AS v FROM z, range(0, 8) r(k)),
       c AS (SELECT DISTINCT a.item_id AS l, b.item_id AS r, a.sig AS sa, b.sig AS sb FROM b a JOIN b ON a.k = b.k AND a.v = b.v AND a.item_id < b.item_id)
       SELECT l AS left, r AS right, round(len(list_filter(range(1, 33), lambda i: sa[i] = sb[i])) / 32, 6) AS similarity FROM c WHERE len(list_filter(range(1, 33), lambda i: sa[i] = sb[i])) / 32 >= 0.7"""),
+    "minhash_pairs_all": (minhash_pairs_all, None),
     "embedding_topk": (embedding_topk, """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS match, list_cosine_similarity(a.v, b.v) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
       SELECT query, match, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) AS rank FROM s) WHERE rank <= 5"""),
     "greedy_near_dedup": (greedy_near_dedup, None),

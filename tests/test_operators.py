@@ -288,3 +288,29 @@ def test_curated_set_has_no_near_copies(spark):
     items = spark.createDataFrame([(i, q, "7", "en", "s", True, False, 3, 0, 0.5 + i / 10) for i, q in rows], "id long, question string, gold_answer string, category string, sub_category string, is_correct boolean, tool_violation boolean, difficulty int, cycle int, confidence double")
     holdout = spark.createDataFrame([(1, held)], "item_id long, text string")
     assert {r.id for r in curated(items, holdout).collect()} == {3, 4}
+
+
+def test_minhash_pairs_over_all_documents_equal_brute_force(spark, sf_dir):
+    """No document is left out, and no pair of 23 equal places of 32 is missed."""
+    from corvane.plans.text_queries import minhash_pairs_all
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1_000_000_000).alias("k"), "text")
+    held = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("k"), "text")
+    signed = docs.unionByName(held).withColumn("s", T.ascii_shingles(F.col("text"))).where(F.size("s") > 0)
+    sig = sorted((r.k, np.array(r.sig)) for r in signed.select("k", T.minhash(F.col("s"), 32).alias("sig")).collect())
+    want = {(a, b): n / 32 for (a, x), (b, y) in itertools.combinations(sig, 2) if (n := int((x == y).sum())) >= 23}
+    got = {(r.left, r.right): r.similarity for r in minhash_pairs_all(spark, sf_dir).collect()}
+    assert got == {p: round(v, 6) for p, v in want.items()}
+    assert any(a > 1_000_000_000 for a, _ in got)
+
+
+def test_complete_minhash_bands_miss_no_pair(spark):
+    """Two sets whose signatures agree in 23 places, with a difference in each of eight bands."""
+    rng = np.random.default_rng(3)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(k, [*common, *(f"{k}-{x}" for x in rng.integers(0, 10**6, 14))]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, s array<string>")
+    sig = {r.id: np.array(r.sig) for r in df.select("id", T.minhash(F.col("s"), 32).alias("sig")).collect()}
+    want = {(a, b) for a, b in itertools.combinations(range(40), 2) if (sig[a] == sig[b]).sum() >= 23}
+    got, few = ({(r.left, r.right) for r in pairs.minhash_pairs(df, "id", "s", 32, n, 0.7).collect()} for n in (None, 8))
+    assert got == want and few < got
