@@ -38,10 +38,11 @@ def spaced_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Pieces:
-    """Keeps the ids of pieces seen; ``encode_many(list of str) -> list of id lists`` is asked for new ones only."""
+    """Keeps the ids of pieces of at most ``longest`` characters seen; ``encode_many(list of str) -> list of id lists`` is
+    asked for new ones only."""
 
-    def __init__(self, encode_many, cut, most: int = 300_000):
-        self.encode_many, self.cut, self.most = encode_many, cut, most
+    def __init__(self, encode_many, cut, most: int = 300_000, longest: int = 64):
+        self.encode_many, self.cut, self.most, self.longest = encode_many, cut, most, longest
         self.clear()
 
     def clear(self) -> None:
@@ -56,7 +57,7 @@ class Pieces:
             self.used = int(self.starts[self.most])
         at = list(map(self.index.get, words))
         if missing := [w for w, i in zip(words, at, strict=True) if i is None]:
-            n = len(self.index)
+            missing.sort(key=len)
             for k in range(0, len(missing), 20_000):
                 part = missing[k : k + 20_000]
                 ids = self.encode_many(part)
@@ -72,10 +73,20 @@ class Pieces:
                 self.lens[m : m + len(part)] = size
                 self.used += len(flat)
                 self.index.update(zip(part, range(m, m + len(part)), strict=True))
-            new = iter(range(n, len(self.index)))
-            at = [next(new) if i is None else i for i in at]
+            at = [self.index[w] if i is None else i for w, i in zip(words, at, strict=True)]
         return np.array(at, np.int64)
 
+    def drop_long(self) -> None:
+        """Forgets the long pieces, which are the last ones, so that the table's memory is bounded."""
+        n = len(self.index)
+        while self.index:
+            word, place = self.index.popitem()
+            if len(word) <= self.longest:
+                self.index[word] = place
+                break
+        if len(self.index) < n:
+            self.used = int(self.starts[len(self.index)])
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and n + 1 offsets into them."""
         flat, first = self.cut(texts)
@@ -86,6 +97,7 @@ class Pieces:
         size = self.lens[row]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.starts[row] - (ends - size), size)]
+        self.drop_long()
         return ids, np.concatenate([[0], ends])[first]
 
 

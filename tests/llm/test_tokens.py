@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import zlib
@@ -17,28 +18,47 @@ from pyarrow import fs as pafs
 from corvane.llm import common, packing, pieces, token_counts, token_files, transducer
 
 WORDS, BYTES = token_files.tokenizer_path("word_bpe_49k.json"), token_files.tokenizer_path("byte_bpe_50k.json")
+library = functools.cache(pieces.library)
 signs = st.text(st.sampled_from(list("aBz'é!.,<|>_ \n\t\x1c ́H字1€-")), max_size=40)
 
 
 def same(encode, path, texts):
     ids, at = encode(common.strings(pa.array(texts, pa.string())))
-    own = pieces.library(path)
+    own = library(path)
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == own.encode(t or "", add_special_tokens=False).ids, t
 
 
+def streamed(e, window, texts):
+    """Every id comes out of the streams, is the library's, and what is kept between windows stays under the bound."""
+    e.window = window
+    out, held = [[] for _ in texts], 0
+    for live, streams, ids in e.rounds([t or "" for t in texts]):
+        for i, s, x in zip(live, streams, ids, strict=True):
+            out[i] += x.tolist()
+            held = max(held, s.most_held)
+            assert len(s.held) <= transducer.SHORT + e.longest_special and s.most_held <= e.bound
+            assert s.word is None or len(s.word.held) < s.word.room
+    e.window = transducer.WINDOW
+    own = library(BYTES)
+    for t, x in zip(texts, out, strict=True):
+        assert x == own.encode(t or "", add_special_tokens=False).ids, (window, t[:200])
+    return held
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(signs, min_size=1, max_size=8))
 def test_pieces_equal_the_library(texts):
     same(pieces.word_pieces(WORDS), WORDS, texts)
     same(pieces.spaced(BYTES), BYTES, texts)
-    same(transducer.encoder(BYTES).batch, BYTES, texts)
+    for window in (1, 3, 17, 4_096):
+        streamed(transducer.encoder(BYTES), window, texts)
 
 
 def test_sliced_batches(odd_rows):
     texts = [t for _, t in odd_rows] + ["éà, " * 50] * 20
     batch = pa.RecordBatch.from_pydict({"text": texts})
-    own = pieces.library(WORDS)
+    own = library(WORDS)
     encode = pieces.word_pieces(WORDS)
     got = [encode(common.strings(part.column("text"))) for part in common.slices(batch, "text", 300)]
     ids = [x[a:b].tolist() for x, at in got for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -46,7 +66,7 @@ def test_sliced_batches(odd_rows):
 
 
 def test_piece_table_forgets():
-    own = pieces.library(WORDS)
+    own = library(WORDS)
     kept = pieces.Pieces(lambda ws: [e.ids for e in own.encode_batch(ws, add_special_tokens=False)], pieces.word_cut, most=50)
     for k in range(40):
         same(kept, WORDS, [f"alpha{k} beta gamma{k * 7} delta{j}" for j in range(20)])
@@ -56,7 +76,7 @@ def test_token_files(spark, documents, tmp_path):
     folder = f"file://{tmp_path}/files"
     manifest = token_files.write_files(documents, folder, WORDS, n_files=3)
     got = sorted(map(tuple, token_files.read_files(spark, folder, manifest).collect()), key=lambda r: r[1])
-    own = pieces.library(WORDS)
+    own = library(WORDS)
     ids = [r[0] for r in got]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     want, at = defaultdict(list), 0
@@ -97,7 +117,7 @@ def test_readers_open_requested_frames_only(tmp_path):
 
 
 def check_packing(rows, texts):
-    own = pieces.library(WORDS)
+    own = library(WORDS)
     by_sequence, by_piece = defaultdict(list), defaultdict(list)
     for r in rows:
         by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -141,26 +161,34 @@ def test_solver_holds_every_piece():
 
 def test_lookahead_and_streams():
     e = transducer.Encoder(BYTES)
-    own = pieces.library(BYTES)
+    own = library(BYTES)
     assert 0 < e.merges.lookahead < 2_000
     random.seed(5)
-    texts = ["".join(random.choice(a) for _ in range(2_500)) for a in ("abcdefghijklmnopqrstuvwxyz", "aeiourstn", "-", "=-", "ab", "éèà中文字ü", " \n", "0123456789")]
-    texts += ["", "  x", "a " * 50 + "\n\n  ", "I'm <|endoftext|> here's"]
+    texts = ["".join(random.choice(a) for _ in range(2_500)) for a in ("abcdefghijklmnopqrstuvwxyz", "aeiourstn", "-", "=-", "ab", "éèà中文字ü", " \n", "0123456789", "'slr ", "<|endoftx>")]
+    texts += ["", "  x", "a " * 50 + "\n\n  ", "I'm <|endoftext|> here's", "!" * 90 + "<|endoftext|>" * 3, " " * 300 + "<|endoftext|>", "\n" * 500 + "x", " " * 200 + "'ll", "z" * 70 + "'re"]
     for t in texts:
         want = own.encode(t, add_special_tokens=False).ids
         assert e.encode_many([t]) == [want]
-        out, k = [], 0
-        while k < len(t):
-            n = random.randint(1, 60)
-            out += e.feed(t[k : k + n])
-            k += n
-        assert out + e.finish() == want
         decoder = transducer.Decoder(e.merges)
         assert "".join(decoder.feed(want[i : i + 7]) for i in range(0, len(want), 7)) + decoder.finish() == t
+    for window in (1, 7, 64, 65, 1_000):
+        streamed(e, window, texts)
+
+
+def test_memory_is_constant():
+    """A megabyte without spaces is emitted as it is read: what is kept doesn't grow with the text, nor does the table."""
+    e = transducer.Encoder(BYTES)
+    random.seed(6)
+    parts = ["ing", "ation", "th", "zx", "q", "é"]
+    letters = "".join(random.choice(parts) for _ in range(400_000))[:1_000_000]
+    marks = "".join(random.choice("-=_#") for _ in range(100_000))
+    held = streamed(e, 4_096, [letters, marks, " " * 100_000, "ab" * 200_000])
+    assert 0 < held <= e.bound < 4_096
+    assert all(len(w) <= e.kept.longest for w in e.kept.index)
 
 
 def test_decoder_replaces_broken_characters():
-    e, own = transducer.encoder(BYTES), pieces.library(BYTES)
+    e, own = transducer.encoder(BYTES), library(BYTES)
     ids = np.random.default_rng(0).integers(0, 50_257, 3_000).tolist()
     decoder = transducer.Decoder(e.merges)
     assert decoder.feed(ids[:777]) + decoder.feed(ids[777:]) + decoder.finish() == own.decode(ids, skip_special_tokens=False)
@@ -171,23 +199,25 @@ def test_word_stream_is_bounded():
     stream = transducer.WordStream(m)
     word = b"".join(random.choice([b"ing", b"ation", b"th", b"zx", b"q"]) for _ in range(20_000))
     out = [i for k in range(0, len(word), 997) for part in stream.feed(word[k : k + 997]) for i in part.tolist() if len(stream.held) <= stream.room]
-    assert out + stream.finish().tolist() == pieces.library(BYTES).encode(word.decode(), add_special_tokens=False).ids
+    assert out + stream.finish().tolist() == library(BYTES).encode(word.decode(), add_special_tokens=False).ids
 
 
 def test_round_trip(documents, nothing):
-    own = pieces.library(BYTES)
+    own = library(BYTES)
     want = []
     for r in documents.select("doc_id", "text").collect():
         ids = own.encode(r.text or "", add_special_tokens=False).ids
         want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
-    assert sorted(map(tuple, transducer.round_trip(documents, BYTES).collect()), key=key) == sorted(want, key=key)
+    got = transducer.round_trip(documents, BYTES).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=key) == sorted(want, key=key)
+    assert max(r.n_windows for r in got) > 10 and 0 < max(r.most_held for r in got) <= transducer.encoder(BYTES).bound
     assert transducer.round_trip(nothing, BYTES).count() == 0
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_line_counts(documents, nothing, rule):
-    own = pieces.library(BYTES)
+    own = library(BYTES)
     got = defaultdict(list)
     for r in token_counts.line_counts(documents, BYTES, rule).collect():
         got[r.doc_id].append((r.section, r.start_char, r.end_char, r.n_tokens))
@@ -236,7 +266,7 @@ def test_line_counts(documents, nothing, rule):
 def test_field_counts(spark):
     rows = spark.createDataFrame([(1, "ab", None, "cd\ne"), (2, "x ", "y", ""), (3, None, None, None)], "k long, a string, b string, c string")
     got = sorted(map(tuple, token_counts.field_counts(rows, "k", ["a", "b", "c"], BYTES).collect()))
-    own = pieces.library(BYTES)
+    own = library(BYTES)
     for k, text, sections in ((1, "ab\n\ncd\ne", 3), (2, "x \ny\n", 3), (3, "\n\n", 3)):
         mine = [r for r in got if r[0] == k]
         assert len(mine) == sections and sum(r[4] for r in mine) == len(own.encode(text, add_special_tokens=False).ids)
