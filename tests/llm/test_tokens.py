@@ -144,19 +144,48 @@ def test_packing(documents, nothing):
     assert packing.pack(nothing, WORDS).count() == 0
 
 
+def histogram_of(lengths):
+    return {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+
+
 def test_solver_holds_every_piece():
     rng = np.random.default_rng(3)
-    for lengths in (rng.integers(1, 4097, 3000), np.minimum(4096, rng.lognormal(6, 1.2, 5000).astype(int) + 1), np.full(500, 1366), np.full(70, 2049), [4096]):
-        histogram = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
-        patterns = packing.solve(dict(histogram))
+    for lengths in (rng.integers(1, 4097, 3000), np.minimum(4096, rng.lognormal(6, 1.2, 5000).astype(int) + 1), np.full(500, 1366), np.full(70, 2049), [4096], rng.integers(1, 60, 5000), [1, 2, 3]):
+        histogram = histogram_of(lengths)
+        plan = packing.solve(dict(histogram))
         held = defaultdict(int)
-        for pattern, times in patterns:
-            assert sum(x * a for x, a in pattern) <= 4096
+        for pattern, times in plan.patterns:
+            assert sum(x * a for x, a in pattern) <= 4096 and times > 0
             for x, a in pattern:
                 held[x] += a * times
         assert dict(held) == histogram
-    assert sum(n for _, n in packing.solve({1366: 500})) == 250
-    assert packing.solve({}) == []
+    assert packing.solve({1366: 500}).sequences == 250
+    assert packing.solve({}).patterns == []
+
+
+@pytest.mark.parametrize(("n", "mean"), [(10_000, 6.0), (20_000, 6.5), (40_000, 6.8)])
+def test_the_program_gives_the_sequences(n, mean):
+    """Nine in ten sequences at least are the linear program's, its gap is under a twentieth, and no more than one is wasted."""
+    lengths = np.minimum(4096, np.random.default_rng(n).lognormal(mean, 1.1, n).astype(int) + 1)
+    plan = packing.solve(histogram_of(lengths))
+    assert plan.share >= 0.9
+    assert plan.bound <= plan.value <= 1.05 * plan.bound
+    assert plan.sequences <= -(-int(lengths.sum()) // 4096) + 1
+
+
+def test_the_fractional_solution_is_feasible():
+    """Every kind is covered, every pattern fits, and the bound is one: it is at most the sum of any feasible solution."""
+    rng = np.random.default_rng(4)
+    sizes, demand = np.array([50, 90, 160, 200, 333, 512]), rng.integers(5, 400, 6).astype(float)
+    used, value, bound = packing.fractional(sizes, demand, 512)
+    cover = np.zeros(6)
+    for pattern, x in used.items():
+        assert sum(int(sizes[j]) * a for j, a in pattern) <= 512
+        for j, a in pattern:
+            cover[j] += a * x
+    assert (cover >= demand * (1 - 1e-9)).all() and value == pytest.approx(sum(used.values()))
+    alone = (demand / (512 // sizes)).sum()  # each kind by itself is feasible too
+    assert bound <= value <= 1.02 * bound and bound <= alone
 
 
 def test_lookahead_and_streams():
