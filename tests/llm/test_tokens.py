@@ -185,7 +185,7 @@ def test_the_fractional_solution_is_feasible():
             cover[j] += a * x
     assert (cover >= demand * (1 - 1e-9)).all() and value == pytest.approx(sum(used.values()))
     alone = (demand / (512 // sizes)).sum()  # each kind by itself is feasible too
-    assert bound <= value <= 1.02 * bound and bound <= alone
+    assert bound <= value <= 1.05 * bound and bound <= alone
 
 
 def test_lookahead_and_streams():
