@@ -127,37 +127,79 @@ def lm_tokens(text):
 
 
 def test_lm_scores(documents, nothing):
-    model, counts = brown_lm.train(documents)
-    got = by_id(brown_lm.score(documents, model, counts).collect(), "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    """Against counts made here from the words' classes alone: transitions, class sizes and scores are worked out anew."""
+    model, words = brown_lm.train(documents)
+    got = by_id(brown_lm.score(documents, model, words).collect(), "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
     rows = documents.select("doc_id", "text").collect()
-    c = Counter()
-    for r in rows:
-        if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10:
-            c.update(lm_tokens(r.text))
+    training = [r for r in rows if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10]
+    c = Counter(w for r in training for w in lm_tokens(r.text))
     n, v = sum(c.values()), len(c)
+    found = {r.word: (r.c, r["class"]) for r in words.collect()}
+    assert {w: x for w, (x, _) in found.items()} == {w: x for w, x in c.items() if w != "\n"}  # every training word has a class
     place = {w: i for i, w in enumerate(model.words)}
-    of = lambda w: brown_lm.CLASSES if w == "\n" else model.unit_class[brown_lm.unit_of(w, place.get(w))]
-    size, kinds = Counter(), Counter()
-    for w, x in c.items():
-        size[of(w)] += x
-        kinds[of(w)] += 1
+    end = brown_lm.CLASSES
+
+    def group(w):  # of an unseen word: its last letters'
+        return model.unit_class[brown_lm.OWN + zlib.crc32(w[-brown_lm.SUFFIX :].encode()) % brown_lm.TIED]
+
+    def predicts(w):
+        return end if w == "\n" else model.predicts[place[w]] if w in place else group(w)
+
+    def predicted(w):
+        return end if w == "\n" else found[w][1] if w in found else group(w)
+
+    table, size, kinds = np.zeros((end + 1, end + 1)), Counter(), Counter(predicted(w) for w in c)
+    for r in training:
+        before = end
+        for w in lm_tokens(r.text):
+            table[before, predicted(w)] += 1
+            size[predicted(w)] += 1
+            before = predicts(w)
+    share = (table.sum(axis=0) + 1) / (n + end + 1)
     want = []
     for r in rows:
-        tokens, score, before = lm_tokens(r.text), 0.0, brown_lm.CLASSES
+        tokens, score, before = lm_tokens(r.text), 0.0, end
         for w in tokens:
-            score += model.transition[before, of(w)]
+            g = predicted(w)
+            score += math.log10((table[before, g] + brown_lm.BACK * share[g]) / (table[before].sum() + brown_lm.BACK))
             if w != "\n":
-                score += math.log10((c[w] + 0.1) / (size[of(w)] + 0.1 * (kinds[of(w)] + 1)))
-            before = of(w)
-        want.append((r.doc_id, len(tokens), sum(c[w] > 0 for w in tokens), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), score))
+                score += math.log10((c[w] + 0.1) / (size[g] + 0.1 * (kinds[g] + 1)))
+            before = predicts(w)
+        want.append((r.doc_id, len(tokens), sum(c[w] > 0 for w in tokens), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), score, 10 ** (-score / len(tokens))))
     want.sort(key=lambda r: tuple((x is not None, x) for x in r))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-7, abs=1e-6)
-    assert (10 ** model.transition).sum(axis=1) == pytest.approx(1)
-    model, counts = brown_lm.train(nothing)
-    assert brown_lm.score(nothing, model, counts).count() == 0
-    assert {r.base_score for r in brown_lm.score(documents, model, counts).where("n_tokens < 5").collect()} == {0.0}
+    assert (10**model.transition).sum(axis=1) == pytest.approx(1)
+    model, words = brown_lm.train(nothing)
+    assert brown_lm.score(nothing, model, words).count() == 0
+    assert {r.base_score for r in brown_lm.score(documents, model, words).where("n_tokens < 5").collect()} == {0.0}
+
+
+def test_words_move_to_the_likeliest_class():
+    """The exchange step of many words at once against one at a time, from the likelihood itself."""
+    rng = np.random.default_rng(8)
+    before = rng.integers(0, 6, (5, 30)).astype(float)  # class before (the last is the end) by word
+    old = rng.integers(0, 4, 30)
+    table = np.zeros((5, 5))
+    for w in range(30):
+        table[:, old[w]] += before[:, w]
+    d, w = np.nonzero(before)
+    order = np.argsort(w, kind="stable")
+    got = brown_lm.moved(table, old, w[order], d[order], before[d[order], w[order]])
+
+    def likelihood(t):
+        x = lambda y: (y[y > 0] * np.log(y[y > 0])).sum()
+        return x(t) - x(t.sum(axis=0))
+
+    for k in range(30):
+        scores = []
+        for g in range(4):
+            t = table.copy()
+            t[:, old[k]] -= before[:, k]
+            t[:, g] += before[:, k]
+            scores.append(likelihood(t))
+        assert scores[got[k]] == pytest.approx(max(scores))
 
 
 def test_exchange_raises_the_likelihood_and_finds_classes():
