@@ -287,26 +287,32 @@ def test_components_equal_union_find(spark):
 
 
 def dedup(rows):
-    def chunks(text):
-        lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        wide = [x.count(" ") + 1 >= line_dedup.LONG for x in lines]
-        a = 0
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or wide[i] or wide[i + 1] or ((h[i - 1] if i else 0) * 31 + h[i]) % line_dedup.DIVISOR == 0:
-                if i > a or wide[a]:
-                    yield a, i, "\n".join(lines[a : i + 1])
-                a = i + 1
-
-    places: dict[str, set] = {}
+    words = lambda x: x.count(" ") + 1 if x else 0
+
+    def windows(lines):
+        for i, x in enumerate(lines):
+            if words(x) >= line_dedup.LONG:
+                yield i, (x,)
+            if i + 1 < len(lines) and min(words(x), words(lines[i + 1])) < line_dedup.LONG:
+                yield i, (x, lines[i + 1])
+
+    places: dict[tuple, set] = {}
     key = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())
     for r in rows:
-        for a, _, c in chunks(r[1] or ""):
-            places.setdefault(c, set()).add((*key(r), a))
+        for i, c in windows((r[1] or "").split("\n")):
+            places.setdefault(c, set()).add((*key(r), i))
     out = []
     for r in rows:
         lines = (r[1] or "").split("\n")
-        gone = {k for a, b, c in chunks(r[1] or "") if (*key(r), a) != min(places[c]) for k in range(a, b + 1)}
+        later = {(i, len(c)) for i, c in windows(lines) if (*key(r), i) != min(places[c])}
+        gone = {i for i, n in later if n == 1}
+        for i in sorted(i for i, n in later if n == 2):
+            if (i - 1, 2) not in later:
+                b = i
+                while (b, 2) in later:
+                    b += 1
+                if sum(map(words, lines[i : b + 1])) >= line_dedup.LONG:
+                    gone |= set(range(i, b + 1))
         out.append((r[0], "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)))
     return out
 
@@ -330,6 +336,34 @@ def test_passages_are_found_and_clean_lines_stay(spark):
     assert all(passage not in got[i].text and got[i].lines_removed >= 5 for i, _ in hot[1:])
 
 
+@pytest.mark.parametrize(("lines", "each"), [(3, 20), (4, 15), (5, 24), (6, 10), (10, 6), (52, 1), (2, 26)])
+def test_blocks_of_short_lines_between_short_lines(spark, lines, each):
+    """A repeated passage of over 50 words goes from its first line to its last, and its neighbours stay."""
+    rng = np.random.default_rng(lines)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 8)) for _ in range(n))
+    block = [words(each) for _ in range(lines)]
+    rows, want = [], {}
+    for i in range(20):
+        before, after = [words(int(n)) for n in rng.integers(2, 20, 5)], [words(int(n)) for n in rng.integers(2, 20, 5)]
+        rows.append((i, "\n".join(before + block + after)))
+        want[i] = "\n".join(before + (block if i == 0 else []) + after)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
+def test_short_shared_lines_stay(spark):
+    """What many documents share but has fewer words than a passage is left alone."""
+    rows = [(i, f"Yours\nsincerely {i}\nthe\nsame three\nshort lines {i * 7}") for i in range(30)]
+    assert all(r.lines_removed == 0 for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["doc_id", "text", "body", "id", "mark", "carried", "__text", "__row", "key", "at", "gone", "a.b"]
+    row = (1, "x", *[f"v{k}" for k in range(10)])
+    got = line_dedup.dedup_lines(spark.createDataFrame([row], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names)))
+    assert got.columns == [*names, "n_lines", "lines_removed"] and tuple(got.first()) == (*row, 1, 0)
+
+
 def test_line_dedup_equals_its_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
