@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset and the
+    master is local, since no other machine could read it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,6 +46,14 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later plans restart from files that any
     executor can read, so a lost executor never repeats what stands above, and lineage is cut."""

@@ -143,12 +143,13 @@ def spelled(prints: np.ndarray) -> list[str]:
 def fingerprint_documents(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """All columns of ``docs`` with fingerprint, which replaces a column of this name; null text is empty and has no term in any lexicon."""
     names = [n for n in docs.columns if n != "fingerprint"]
-    source = common.bound_batches(docs).select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{n}`") for n in names])
+    own = common.free_name(docs, "text_read")
+    source = common.bound_batches(docs).select(F.col("text").cast("string").alias(own), *[F.col(f"`{n}`") for n in names])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "__text"):
-                prints = spelled(fingerprints(common.strings(part.column("__text")), words))
+            for part in common.slices(batch, own):
+                prints = spelled(fingerprints(common.strings(part.column(0)), words))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(prints, pa.string())], [*names, "fingerprint"])
 
     return source.mapInArrow(run, docs.select(*[F.col(f"`{n}`") for n in names], F.lit("").alias("fingerprint")).schema)

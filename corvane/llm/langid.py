@@ -24,6 +24,7 @@ HIDDEN = 12
 #: The bounded training sample: labelled documents of each language, and characters of each, from a place in the text
 #: that its hash chooses.
 SAMPLE_DOCUMENTS = 1_500
+MOST_ROWS = 50_000
 SAMPLE_CHARS = 400
 STEPS, BATCH, SPAN, RATE, SEED = 320, 128, 96, 0.012, 20
 #: Windows that are run side by side.
@@ -209,14 +210,15 @@ def label_texts(net: Network, texts: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
-    """About ``most`` documents of each language, chosen by a hash of their ids, and ``chars`` characters of each. Not
+    """About ``most`` documents of each language, chosen by a hash of id and text, at
+    most ``MOST_ROWS`` in all, and ``chars`` characters of each. Not
     read: rows without language or text, and the held-out fifth (crc32 of the id as text divisible by 5)."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND pmod(crc32(coalesce(cast(doc_id AS string), '')), 5) <> 0")
     shares = known.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")).alias("share"))
-    spot = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"))
+    spot = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.col("text"))
     picked = known.join(F.broadcast(shares), "lang").where(F.pmod(spot, F.lit(1 << 20)) < F.col("share") * (1 << 20))
     at = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id").cast("long")), F.greatest(F.length("text") - chars, F.lit(1)))
-    rows = picked.select("lang", F.col("doc_id").cast("long").alias("id"), F.col("text").substr(at.cast("int") + 1, F.lit(chars)).alias("text")).collect()
+    rows = picked.select("lang", F.col("doc_id").cast("long").alias("id"), F.col("text").substr(at.cast("int") + 1, F.lit(chars)).alias("text")).limit(MOST_ROWS).collect()
     return [(r["lang"], r["text"].lower().encode() if r["text"].isascii() else _lower(r["text"])) for r in sorted(rows, key=lambda r: (r["lang"], r["id"] is None, r["id"] or 0, r["text"]))]
 
 
@@ -230,12 +232,13 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     ``und`` with score 0 where text is null or has no letter, or where no language was learned; every other text gets a
     learned language, by all its bytes; empty tables give no rows; repeated rows are labelled alike."""
     names = [n for n in docs.columns if n not in ("lang_pred", "score")]
-    schema = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{n}`") for n in names]).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
+    own = common.free_name(docs, "text_read")
+    schema = docs.select(*[F.col(f"`{n}`") for n in names], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "__text"):
-                texts = common.strings(part.column("__text"))
+            for part in common.slices(batch, own):
+                texts = common.strings(part.column(0))
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if net is not None:
                     p = label_texts(net, texts)
@@ -245,8 +248,8 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                     score = np.where(letters, np.clip(p.max(axis=1), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    source = common.bound_batches(docs).select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{n}`") for n in names])
-    return source.mapInArrow(run, schema.drop("__text").schema)
+    source = common.bound_batches(docs).select(F.col("text").cast("string").alias(own), *[F.col(f"`{n}`") for n in names])
+    return source.mapInArrow(run, schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -142,6 +142,18 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     return met.select("members").mapInArrow(compare, "a long, b long").unionByName(same).distinct()
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark: MD5 of the text, null as empty) of the rows that stay: of each group of near duplicates, by links of 4
+    bits and of near copies, the row of the smallest doc_id (null last) and then mark. Rows of equal doc_id and text are one.
+    Texts that are alike only in their doc_id are not a group."""
+    prints = common.staged(signatures(docs), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    least = common.staged(prints.groupBy("fp").agg(F.min(row).alias("row")), "distinct")
+    parts = common.components(simhash.links(least, least.count()).unionByName(links(docs, prints)))
+    rooted = least.join(parts, least["fp"] == parts["id"], "left").select("row", F.coalesce("root", "fp").alias("root"))
+    return rooted.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.mark")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``simhash.near_duplicates`` with the links of near copies besides those of 4 bits: doc_id, fingerprint, component_id."""
     prints = common.staged(signatures(docs), "signatures")

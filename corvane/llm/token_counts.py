@@ -80,16 +80,16 @@ def _run(path: str, rule: str, key: str):
                     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 counts, crossing = allocate(first, end, starts, int(docs[-1]), rule)
                 last = np.append(starts[1:], docs[-1])
-                out = [part.column(key).take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(starts - docs[doc], pa.int64()), pa.array(last - docs[doc], pa.int64()), pa.array(counts) if rule == "share" else pa.array(counts.astype(np.int64)), pa.array(crossing, pa.int64())]
+                out = [part.column(0).take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(starts - docs[doc], pa.int64()), pa.array(last - docs[doc], pa.int64()), pa.array(counts) if rule == "share" else pa.array(counts.astype(np.int64)), pa.array(crossing, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, [key, "section", "start_char", "end_char", "n_tokens", "n_crossing"])
 
     return run
 
 
-def _schema(rule: str, key: str) -> str:
+def _schema(rows: DataFrame, rule: str, key: str) -> str:
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    return f"{key} long, section int, start_char long, end_char long, n_tokens {'double' if rule == 'share' else 'long'}, n_crossing long"
+    return f"`{key}` {rows.schema[key].dataType.simpleString()}, section int, start_char long, end_char long, n_tokens {'double' if rule == 'share' else 'long'}, n_crossing long"
 
 
 def line_counts(docs: DataFrame, path: str, rule: str = "first", key: str = "doc_id") -> DataFrame:
@@ -98,7 +98,7 @@ def line_counts(docs: DataFrame, path: str, rule: str = "first", key: str = "doc
 
     A null or empty text is one section without tokens; null and repeated keys are carried along, each row for itself;
     an empty table gives no rows; other columns are not read. A document's n_tokens add up to its whole count."""
-    return common.bound_batches(docs).select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(_run(path, rule, key), _schema(rule, key))
+    return common.bound_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col("text").cast("string")).mapInArrow(_run(path, rule, key), _schema(docs, rule, key))
 
 
 def field_counts(rows: DataFrame, key: str, fields: list[str], path: str, rule: str = "first", separator: str = "\n") -> DataFrame:
@@ -109,8 +109,8 @@ def field_counts(rows: DataFrame, key: str, fields: list[str], path: str, rule:
     for f in filled:
         starts.append(at)
         at = at + F.length(f) + len(separator)
-    made = common.bound_batches(rows).select(F.col(key).cast("long").alias(key), F.concat_ws(separator, *filled).alias("text"), F.array(*starts).cast("array<long>").alias("starts"))
-    return made.mapInArrow(_run(path, rule, key), _schema(rule, key))
+    made = common.bound_batches(rows).select(F.col(f"`{key}`").alias("key"), F.concat_ws(separator, *filled).alias("text"), F.array(*starts).cast("array<long>").alias("starts"))
+    return made.mapInArrow(_run(path, rule, key), _schema(rows, rule, key))
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -145,28 +145,37 @@ class Reader:
         return np.concatenate([np.zeros(0, f"<u{self.width}"), *self.parts(int(rows[0]))])
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary of 2-byte little-endian ids, end_id last). Null text is empty."""
+def id_width(path: str, end_id: int) -> int:
+    """Bytes of an id: 2 if every id of the vocabulary fits, else 4."""
+    return 2 if max(pieces.library(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 and end_id < 1 << 16 else 4
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
+    """(doc_id, ids binary of little-endian ids of ``width`` bytes, end_id last). Null text is empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = pieces.word_pieces(path)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 ids, at = encode(common.strings(part.column("text")))
-                ids = np.insert(ids, at[1:], end_id).astype("<u2")
-                ends = 2 * (at + np.arange(len(at)))
+                ids = np.insert(ids, at[1:], end_id).astype(f"<u{width}")
+                ends = width * (at + np.arange(len(at)))
                 out = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), out.cast(pa.binary())], ["doc_id", "ids"])
 
     return common.bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def by_range(df: DataFrame, key: str, n: int, ids: DataFrame) -> DataFrame:
-    """``df`` dealt to ``n`` partitions by ranges of ``key`` and sorted there. The bounds come from ``ids``, which has
-    the key alone, so what stands above ``df`` runs once; rows without a key go to the first partition."""
+def by_range(df: DataFrame, key: str, content: str, n: int, ids: DataFrame) -> DataFrame:
+    """``df`` dealt to ``n`` partitions by ranges of ``key`` and sorted there, rows of one key by ``content``. The bounds come
+    from ``ids``, which has the key alone, so what stands above ``df`` runs once; rows without a key are dealt over as many
+    partitions before the others as is their share."""
+    counted = ids.agg(F.count("*").alias("n"), F.count(key).alias("keyed")).first()
+    without = counted["n"] - counted["keyed"]
+    before = -(-without * n // counted["n"]) if without else 0
     marks = sorted(set(ids.approxQuantile(key, [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
     part = F.size(F.filter(F.array(*[F.lit(int(x)) for x in marks]).cast("array<long>"), lambda x: x < F.col(key))) if marks else F.lit(0)
-    return df.withColumn("_part", F.when(F.col(key).isNull(), 0).otherwise(part).cast("int")).repartitionById(n, "_part").sortWithinPartitions(F.col(key).asc_nulls_first())
+    return df.withColumn("_part", F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(max(before, 1)))).otherwise(part + before).cast("int")).repartitionById(n + before, "_part").sortWithinPartitions(F.col(key).asc_nulls_first(), content)
 
 
 def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, n_files: int | None = None) -> list[dict]:
@@ -178,7 +187,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, n_file
     repeated or speculative tasks leave one whole file."""
     spark = docs.sparkSession
     n = n_files or common.partitions(spark)
-    ordered = by_range(encoded(docs, path, end_id), "doc_id", n, docs.select(F.col("doc_id").cast("long")))
+    width = id_width(path, end_id)
+    ordered = by_range(encoded(docs, path, end_id, width), "doc_id", "ids", n, docs.select(F.col("doc_id").cast("long")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = name = None
@@ -191,8 +201,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, n_file
                     k = TaskContext.get().partitionId()
                     name = f"tokens-{k:05d}.zst"
                     own = f"{top}/{name}.{uuid.uuid4().hex}"
-                    writer = Writer(files.open_output_stream(own, compression=None), 2)
-                writer.add(doc_id, np.frombuffer(ids.as_buffer(), "<u2"))
+                    writer = Writer(files.open_output_stream(own, compression=None), width)
+                writer.add(doc_id, np.frombuffer(ids.as_buffer(), f"<u{width}"))
         if writer is not None:
             writer.close()
             files.move(own, f"{top}/{name}")

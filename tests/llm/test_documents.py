@@ -357,6 +357,12 @@ def test_short_shared_lines_stay(spark):
     assert all(r.lines_removed == 0 for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_added_columns_meet_no_name(spark):
+    docs = spark.createDataFrame([(1, "a", "mine", "kept")], "doc_id long, text string, text_read string, __text string")
+    assert tuple(langid.identify(docs, None).first()) == (1, "a", "mine", "kept", "und", 0.0)
+    assert tuple(imatch.fingerprint_documents(docs, np.zeros(0, np.uint64)).first())[:4] == (1, "a", "mine", "kept")
+
+
 def test_columns_of_any_name_are_carried(spark):
     names = ["doc_id", "text", "body", "id", "mark", "carried", "__text", "__row", "key", "at", "gone", "a.b"]
     row = (1, "x", *[f"v{k}" for k in range(10)])

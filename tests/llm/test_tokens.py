@@ -90,6 +90,24 @@ def test_token_files(spark, documents, tmp_path):
     assert token_files.read_files(spark, folder, []).count() == 0
 
 
+def test_ids_of_any_width_and_rows_without_an_id(spark, tmp_path, monkeypatch):
+    """Wide ids are kept whole, rows without an id are dealt over several files, rows of one id come in order of their ids."""
+    monkeypatch.setattr(token_files, "id_width", lambda path, end_id: 4)
+    rows = [(None, f"word {k}") for k in range(40)] + [(7, f"other {k % 3}") for k in range(20)]
+    folder = f"file://{tmp_path}/wide"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = token_files.write_files(docs, folder, WORDS, end_id=70_000, n_files=3)
+    got = token_files.read_files(spark, folder, manifest).collect()
+    own = library(WORDS)
+    want = sorted((i is not None, zlib.crc32(np.array([*own.encode(t, add_special_tokens=False).ids, 70_000], "<u4").tobytes())) for i, t in rows)
+    assert sorted((r.doc_id is not None, r.ids_crc32) for r in got) == want
+    by_start = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in by_start] == [None] * 40 + [7] * 20
+    assert len([m for m in manifest if m["docs"]]) > 2
+    runs = [r.ids_crc32 for r in by_start[40:]]
+    assert len(set(runs)) == 3 and sum(a != b for a, b in zip(runs, runs[1:], strict=False)) == 2
+
+
 def test_token_files_of_nothing(spark, nothing, tmp_path):
     assert token_files.write_files(nothing, f"file://{tmp_path}/none", WORDS) == []
 
@@ -296,6 +314,9 @@ def test_field_counts(spark):
     rows = spark.createDataFrame([(1, "ab", None, "cd\ne"), (2, "x ", "y", ""), (3, None, None, None)], "k long, a string, b string, c string")
     got = sorted(map(tuple, token_counts.field_counts(rows, "k", ["a", "b", "c"], BYTES).collect()))
     own = library(BYTES)
+    named = rows.selectExpr("cast(k AS string) AS text", "a", "b", "c AS starts")
+    again = sorted(map(tuple, token_counts.field_counts(named, "text", ["a", "b", "starts"], BYTES).collect()))
+    assert again == [(str(r[0]), *r[1:]) for r in got]
     for k, text, sections in ((1, "ab\n\ncd\ne", 3), (2, "x \ny\n", 3), (3, "\n\n", 3)):
         mine = [r for r in got if r[0] == k]
         assert len(mine) == sections and sum(r[4] for r in mine) == len(own.encode(text, add_special_tokens=False).ids)
