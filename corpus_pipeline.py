@@ -37,12 +37,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (4 differing bits, or a five-word similarity of 0.8), that of the
-    smallest doc_id; of rows that share this doc_id, one.
-    In a group without any doc_id each different text stays."""
-    keep = near_copies.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    chosen = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*COLUMNS)
-    mark = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit(""))))
-    return chosen.withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"]).select(*COLUMNS)
+    smallest doc_id. Rows are judged by their text: unlike texts that share a doc_id all stay, a repeated row stays once."""
+    keep = near_copies.representatives(docs).select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    marked = docs.select(*COLUMNS, F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
+    chosen = marked.join(keep, (F.col("mark") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "mark"]).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
