@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the folder that the session names, so that iterations keep short plans and survive lost
-    executors; a folder of its own only where none is set."""
+    executors; a folder of its own only where none is set and the master is local."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-"))
     return df.checkpoint()
 
 
