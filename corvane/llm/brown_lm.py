@@ -52,7 +52,7 @@ class Model:
     divisor: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # log10 of each class's N + ADD (V + 1)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("place", "unit")} | {"words": "\n".join(self.words)}
+        return {k: v for k, v in self.__dict__.items() if k != "names"} | {"words": "\n".join(self.words)}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -60,17 +60,15 @@ class Model:
 
     def ready(self) -> Model:
         """Tables that tasks build for themselves."""
-        self.place = {w: i for i, w in enumerate(self.words)}
+        self.names = pa.array(self.words, pa.large_string())
         return self
 
     def looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Place among the frequent words (-1: none) and unit of each word."""
-        names = words.to_pylist()
-        place = np.array([-1 if (k := self.place.get(w)) is None else k for w in names], np.int64)
-        unit = place.copy()
-        rest = np.flatnonzero((place < 0) | (place >= OWN)).tolist()
-        unit[rest] = [tied(names[i]) for i in rest]
-        return place, unit
+        place = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy().astype(np.int64)
+        ends = pc.utf8_slice_codeunits(words, start=-SUFFIX, stop=None).dictionary_encode()
+        unit = np.array([tied(x) for x in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+        return place, np.where((place >= 0) & (place < OWN), place, unit)
 
     def context(self, place: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """The class that each word predicts the next one by."""
@@ -170,7 +168,7 @@ def bigrams(docs: DataFrame, model: Model) -> DataFrame:
         if keys:
             yield from given()
 
-    return common.bound_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "w int, u int, n long").groupBy("w", "u").agg(F.sum("n").alias("n"))
+    return common.bound_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "w int, u int, n long").repartition(common.partitions(docs.sparkSession), "w", "u").groupBy("w", "u").agg(F.sum("n").alias("n"))
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -257,20 +255,19 @@ def moved(table: np.ndarray, old: np.ndarray, word: np.ndarray, before: np.ndarr
 
 
 def contexts(docs: DataFrame, model: Model) -> DataFrame:
-    """(word, tied: the class of its group, d, n): how often each word follows class d; the empty word is the end."""
+    """(word, tied: the class of its group, d, n): how often each word follows class d; the empty word is the end. The
+    frequent words are added up in each task, the others only in a slice of its texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.ready()
         own = np.zeros((len(m.words) + 1, CLASSES + 1), np.int64)  # the frequent words and the end
         names = pa.array([*m.words, ""], pa.large_string())
         group = np.array([m.unit_class[i if i < OWN else tied(w)] for i, w in enumerate(m.words)] + [CLASSES], np.int64)
-        held: list[pa.Table] = []
-
-        def added() -> pa.Table:
-            return pa.concat_tables(held).group_by(["word", "tied", "d"]).aggregate([("n", "sum")]).rename_columns(["word", "tied", "d", "n"])
 
-        def given(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            return iter(t.set_column(0, "word", t["word"].cast(pa.string())).to_batches(max_chunksize=50_000))
+        def given(words: pa.Array, group: np.ndarray, d: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(words), 50_000):
+                cut = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([words[cut].cast(pa.string()), pa.array(group[cut].astype(np.int32)), pa.array(d[cut].astype(np.int32)), pa.array(n[cut])], ["word", "tied", "d", "n"])
 
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -285,15 +282,9 @@ def contexts(docs: DataFrame, model: Model) -> DataFrame:
                 rare = np.insert(code, at[1:], 0)[~some].astype(np.int64)
                 k, n = np.unique(rare * (CLASSES + 1) + before[~some], return_counts=True)
                 c = k // (CLASSES + 1)
-                held.append(pa.table({"word": words.take(pa.array(c)), "tied": pa.array(m.unit_class[unit[c]].astype(np.int32)), "d": pa.array((k % (CLASSES + 1)).astype(np.int32)), "n": pa.array(n)}))
-            if sum(len(t) for t in held) > 600_000:
-                held = [added()]
-                if len(held[0]) > 400_000:
-                    yield from given(held.pop())
-        if held:
-            yield from given(added())
+                yield from given(words.take(pa.array(c)), m.unit_class[unit[c]], k % (CLASSES + 1), n)
         w, d = np.nonzero(own)
-        yield from given(pa.table({"word": names.take(pa.array(w)), "tied": pa.array(group[w].astype(np.int32)), "d": pa.array(d.astype(np.int32)), "n": pa.array(own[w, d])}))
+        yield from given(names.take(pa.array(w)), group[w], d, own[w, d])
 
     return common.bound_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "word string, tied int, d int, n long")
 
