@@ -110,9 +110,19 @@ def ascii_shingles(c: Column, n: int = 2) -> Column:
 
 
 def minhash(items: Column, permutations: int) -> Column:
-    """Signature by salted MD5: for each permutation the least first seven hex digits over all items, as a number."""
-    salts = F.sequence(F.lit(0), F.lit(permutations - 1))
-    return let(items, lambda own: F.transform(salts, lambda p: F.array_min(F.transform(own, lambda x: F.conv(F.substring(F.md5(F.concat(p.cast("string"), F.lit(":"), x)), 1, 7), 16, 10).cast("long")))))
+    """Signature: an item is hashed once, to the number h of the first seven hex digits of its MD5; permutation p sends it to
+    (a h + b) mod 2^31 - 1, with a and b of ``permutation``; each place is the least number over all items."""
+    salts = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(permutation, range(permutations))])
+    hashed = F.transform(items, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
+    return let(hashed, lambda own: F.transform(salts, lambda p: F.array_min(F.transform(own, lambda h: (p["a"] * h + p["b"]) % PRIME))))
+
+
+PRIME = 2**31 - 1
+
+
+def permutation(p: int) -> tuple[int, int]:
+    """The factor and the shift of permutation ``p``."""
+    return 1 + (p + 1) * 2_654_435_761 % (PRIME - 1), (p + 1) * 1_597_334_677 % PRIME
 
 
 def signature_similarity(a: Column, b: Column) -> Column:

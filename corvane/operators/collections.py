@@ -12,12 +12,12 @@ from pyspark.sql.types import ArrayType, LongType
 from ..functions import answers as A
 from ..functions import text as T
 from .common import cut
-from .curation import greedy_keep, lexical_scores
+from .curation import greedy_keep
+from .pairs import class_links, set_classes
 from .split import first_per_bucket, stable_rank
 
 # Operation words whose shared presence makes overlapping structures a collision.
 OPERATIONS = ("differentiate", "integrate", "derivative", "integral", "matrix", "probability", "solve")
-RULES = ("exact_text", "parameterized_template", "math_structure", "near_text")
 
 
 def keyed_minhash(permutations: int, seed: int = 42):
@@ -37,31 +37,68 @@ def keyed_minhash(permutations: int, seed: int = 42):
     return signature
 
 
-def collisions(items: DataFrame, key: str, prior: DataFrame, prior_key: str, text: str = "question", near: float = 0.85, overlap: float = 0.8) -> DataFrame:
-    """(key, prior_key, rule) of every pair that collides, with the first rule that it meets: equal text, equal template,
-    structures that overlap in an operation, similar words. Candidates come from equi-joins on each rule's own key."""
-    def side(df: DataFrame, k: str) -> DataFrame:
-        parts = F.array_distinct(F.filter(F.split(T.structure_signature(F.col(text)), "\\|"), lambda t: t != ""))
-        return df.select(F.col(k), T.normalized(F.col(text)).alias("n"), T.template(F.col(text)).alias("t"), parts.alias("s"), F.filter(parts, lambda t: t.isin(*OPERATIONS)).alias("o"))
-
-    a, b = side(items, key), side(prior, prior_key)
-    exact = a.join(b.select(prior_key, "n"), "n").select(key, prior_key, F.lit(0).alias("r"))
-    template = a.where("t <> ''").join(b.select(prior_key, "t"), "t").select(key, prior_key, F.lit(1).alias("r"))
-    x = a.select(key, F.col("s").alias("sa"), F.explode("o").alias("op")).join(b.select(prior_key, F.col("s").alias("sb"), F.explode("o").alias("op")), "op")
-    structure = x.where(T.jaccard(F.col("sa"), F.col("sb")) >= overlap).select(key, prior_key, F.lit(2).alias("r")).distinct()
-    words = lexical_scores(items, key, prior, prior_key, text, text).where(F.greatest("unigram", "bigram") >= near).select(key, prior_key, F.lit(3).alias("r"))
-    first = exact.unionByName(template).unionByName(structure).unionByName(words).groupBy(key, prior_key).agg(F.min("r").alias("r"))
-    return first.select(key, prior_key, F.get(F.array(*map(F.lit, RULES)), F.col("r")).alias("rule"))
+def collision_keys(df: DataFrame, key: str, text: str) -> DataFrame:
+    """What the collision rules compare: normalised text n, template t, words w and word pairs p, structure s with its
+    operation words o (s is empty where there is none, since it then collides with nothing)."""
+    parts = F.array_distinct(F.filter(F.split(T.structure_signature(F.col(text)), "\\|"), lambda t: t != ""))
+    words = T.words(F.col(text))
+    found = df.select(F.col(key).alias("id"), T.normalized(F.col(text)).alias("n"), T.template(F.col(text)).alias("t"), F.array_distinct(words).alias("w"), T.shingles(words, 2).alias("p"), parts.alias("parts"))
+    return found.select("id", "n", "t", "w", "p", F.when(F.exists("parts", lambda x: x.isin(*OPERATIONS)), F.col("parts")).otherwise(F.array().cast("array<string>")).alias("s"))
+
+
+def same_operation(x: Column, y: Column) -> Column:
+    return F.exists(F.array_intersect(x, y), lambda t: t.isin(*OPERATIONS))
+
+
+def rule_links(keys: DataFrame, column: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """members (set_key, id) and links (x, y) of the classes of equal sets of ``column``."""
+    members, sets = set_classes(keys, "id", column)
+    links = class_links(sets, threshold)
+    if column == "s":
+        of = lambda k, v: sets.select(F.col("set_key").alias(k), F.col("tokens").alias(v))
+        links = links.join(of("x", "_x"), "x").join(of("y", "_y"), "y").where(same_operation(F.col("_x"), F.col("_y")))
+    return members, cut(links.select("x", "y"))
+
+
+def collision_groups(keys: DataFrame, near: float = 0.85, overlap: float = 0.8) -> DataFrame:
+    """(id, group): rows of one group collide with each other, and all that collide share one: equal text, equal template,
+    structures that overlap in an operation, similar words or word pairs. Copies add a row to a group, not a pair with each
+    other; a link of two classes of equal sets is a group of both."""
+    mark = lambda kind, *c: F.concat(F.lit(kind), F.md5(F.concat_ws("\x1f", *c)))
+    found = keys.select("id", mark("n", "n").alias("group")).unionByName(keys.where("t <> ''").select("id", mark("t", "t").alias("group")))
+    for column, threshold in (("w", near), ("p", near), ("s", overlap)):
+        members, links = rule_links(keys, column, threshold)
+        found = found.unionByName(members.select("id", mark(column, "set_key").alias("group")))
+        for end in ("x", "y"):
+            found = found.unionByName(members.join(links.withColumn("set_key", F.col(end)), "set_key").select("id", mark(f"{column}2", "x", "y").alias("group")))
+    return found
+
+
+def colliding(keys: DataFrame, prior: DataFrame, near: float = 0.85, overlap: float = 0.8) -> DataFrame:
+    """(id) of the rows of ``keys`` that collide with a row of ``prior`` by any rule."""
+    hits = keys.join(prior.select("n").distinct(), "n", "left_semi").select("id")
+    hits = hits.unionByName(keys.where("t <> ''").join(prior.select("t").distinct(), "t", "left_semi").select("id"))
+    both = cut(keys.select(F.struct(F.lit(0).alias("side"), F.col("id").cast("string").alias("id")).alias("id"), "w", "p", "s").unionByName(prior.select(F.struct(F.lit(1).alias("side"), F.col("id").cast("string").alias("id")).alias("id"), "w", "p", "s")))
+    mine = []
+    for column, threshold in (("w", near), ("p", near), ("s", overlap)):
+        members, links = rule_links(both, column, threshold)
+        earlier = members.where("id.side = 1").select("set_key").distinct()
+        near_earlier = links.select(F.col("x").alias("set_key"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("set_key"), F.col("x").alias("other"))).join(earlier.withColumnRenamed("set_key", "other"), "other", "left_semi").select("set_key")
+        mine.append(members.where("id.side = 0").join(earlier.unionByName(near_earlier).distinct(), "set_key", "left_semi").select(F.col("id.id").alias("id")))
+    kind = keys.schema["id"].dataType
+    for found in mine:
+        hits = hits.unionByName(found.select(F.col("id").cast(kind).alias("id")))
+    return hits.distinct()
 
 
 def blind_set(items: DataFrame, prior: DataFrame, key: str, prior_key: str, bucket: list[str], per_bucket: int, seed: int = 42, text: str = "question") -> DataFrame:
-    """Items that collide with no prior one nor with a safe item of smaller key, ``per_bucket`` of each bucket by hash."""
+    """Items that collide with no prior one nor with a kept safe item of smaller key, ``per_bucket`` of each bucket by hash."""
     items = cut(items)
-    hit = collisions(items, key, prior, prior_key, text).select(key).distinct()
-    safe = cut(items.join(hit, key, "left_anti"))
-    own = collisions(safe, key, safe.select(F.col(key).alias("_other"), text), "_other", text).where(F.col(key) > F.col("_other"))
-    kept = greedy_keep(safe.select(F.col(key).alias("rank")), own.select(F.col("_other").alias("a"), F.col(key).alias("b"))).where("kept")
-    return first_per_bucket(safe.join(kept.select(F.col("rank").alias(key)), key), bucket, per_bucket, stable_rank(seed, F.col(key)))
+    keys = cut(collision_keys(items, key, text))
+    safe = cut(keys.join(colliding(keys, collision_keys(prior, prior_key, text)), "id", "left_anti"))
+    groups = collision_groups(safe).select(F.col("id").alias("rank"), "group")
+    kept = greedy_keep(safe.select(F.col("id").alias("rank")), None, groups=groups).where("kept")
+    return first_per_bucket(items.join(kept.select(F.col("rank").alias(key)), key), bucket, per_bucket, stable_rank(seed, F.col(key)))
 
 
 def guidance(items: DataFrame, bucket: list[str], key: str, features: list[str], n: int = 10, threshold: float = 0.85, text: str = "question", seed: int = 42) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .common import cut, reasons
-from .pairs import jaccard_pairs
+from .pairs import class_links, set_classes
 
 # The wanted shares of sources among wrong answers.
 WRONG_MIX = (("boundary", 0.55), ("repair", 0.15), ("format", 0.05))
@@ -97,43 +97,65 @@ def near_leaks(items: DataFrame, key: str, holdout: DataFrame, holdout_key: str,
     return scored.groupBy(key).agg(F.min(F.struct(holdout_key, "similarity")).alias("m")).select(key, f"m.{holdout_key}", "m.similarity")
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(node, kept): the first maximal independent set in order of ``nodes.rank``, unique numbers. ``edges`` (a, b) join
-    ranks. A node without an undecided earlier neighbour is decided in each round: dropped if an earlier one is kept,
-    else kept. Rounds are checkpointed; only their counts reach the driver. Each round decides the first open node at least, so
-    they end; with ``most_rounds``, edges that are open after so many raise an error."""
-    ordered = edges.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("then")).where("first <> then").distinct()
-    left = cut(ordered)
-    decided = None
-    state = cut(nodes.select(F.col("rank"), F.lit(None).cast("boolean").alias("kept")))
+def greedy_keep(nodes: DataFrame, edges: DataFrame | None, most_rounds: int | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(rank, kept): the first maximal independent set in order of ``nodes.rank``, unique values. ``edges`` (a, b) join two
+    ranks, ``groups`` (rank, group) join all ranks of a group, without a row for each pair of them. In each round a node that
+    is the first open one of all its groups stays, and the others of these go. Rounds are checkpointed and add up minima by group
+    only; nothing but their emptiness reaches the driver. Each round decides the first open node at least, so they end; with
+    ``most_rounds``, groups that are open after so many raise an error."""
+    joined = []
+    if edges is not None:
+        pairs = edges.where("a <> b").select("a", "b", F.concat_ws(" ", F.xxhash64(F.lit("p"), F.least("a", "b"), F.greatest("a", "b")), F.xxhash64(F.lit("q"), F.least("a", "b"), F.greatest("a", "b"))).alias("group"))
+        joined += [pairs.select(F.col(end).alias("rank"), F.concat(F.lit("pair "), "group").alias("group")) for end in ("a", "b")]
+    if groups is not None:
+        joined.append(groups.select("rank", F.col("group").cast("string").alias("group")))
+    left = joined[0]
+    for more in joined[1:]:
+        left = left.unionByName(more)
+    left = cut(left.distinct())
+    dropped = None
     rounds = 0
-    while not left.isEmpty():
+    while True:
+        first = left.groupBy("group").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
+        rows = cut(left.join(first.select("group", "first"), "group"))
+        if rows.isEmpty():
+            break
         if rounds == most_rounds:
             raise RuntimeError("greedy choice did not settle")
         rounds += 1
-        waiting = left.select(F.col("then").alias("rank")).distinct()
-        sure = state.where("kept IS NULL").join(waiting, "rank", "left_anti").select("rank")  # nothing earlier is open
-        sure = cut(sure)
-        dropped = left.join(sure.withColumnRenamed("rank", "first"), "first", "left_semi").select(F.col("then").alias("rank")).distinct()
-        dropped = cut(dropped)
-        state = cut(state.join(sure.withColumn("_k", F.lit(True)).unionByName(dropped.withColumn("_k", F.lit(False))), "rank", "left").select("rank", F.coalesce("kept", "_k").alias("kept")))
-        gone = sure.unionByName(dropped).distinct()
-        left = cut(left.join(gone.withColumnRenamed("rank", "first"), "first", "left_anti").join(gone.withColumnRenamed("rank", "then"), "then", "left_anti"))
-        decided = state
-    return (decided or state).select("rank", F.coalesce("kept", F.lit(True)).alias("kept"))
+        sure = cut(rows.groupBy("rank").agg(F.max(F.col("rank") != F.col("first")).alias("waits")).where(~F.col("waits")).select("rank"))
+        gone = cut(rows.where(F.col("rank") != F.col("first")).join(sure.withColumnRenamed("rank", "first"), "first", "left_semi").select("rank").distinct())
+        left = cut(rows.select("rank", "group").join(sure.unionByName(gone), "rank", "left_anti"))
+        dropped = gone if dropped is None else cut(dropped.unionByName(gone))
+    if dropped is None:
+        return nodes.select("rank", F.lit(True).alias("kept"))
+    return nodes.select("rank").join(dropped.withColumn("_gone", F.lit(True)), "rank", "left").select("rank", F.col("_gone").isNull().alias("kept"))
+
+
+def first_wins(df: DataFrame, key: str, tokens: str, rank: list[Column], threshold: float) -> DataFrame:
+    """(key, kept): greedy near-duplicate removal, in order of ``rank`` (ascending, ending with a unique column): a row is
+    dropped if a kept one before it has a token set of at least ``threshold``. Rows of equal sets are neighbours of the same
+    rows, so only the first of each set can stay and only the sets are linked, never all their copies."""
+    x = cut(df.select(F.col(key).alias("id"), F.col(tokens).alias("tokens"), F.struct(*rank).alias("rank")))
+    members, sets = set_classes(x, "id", "tokens")
+    links = cut(class_links(sets, threshold))
+    first = cut(members.join(x.select("id", "rank"), "id").groupBy("set_key").agg(F.min("rank").alias("rank")))
+    linked = links.select(F.col("x").alias("set_key")).unionByName(links.select(F.col("y").alias("set_key"))).distinct()
+    of = lambda end, name: first.select(F.col("set_key").alias(end), F.col("rank").alias(name))
+    edges = links.join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b")
+    gone = greedy_keep(first.join(linked, "set_key").select("rank"), edges).where(~F.col("kept")).select("rank")
+    kept = first.join(gone, "rank", "left_anti").select("rank", F.lit(True).alias("kept"))
+    found = x.join(kept, "rank", "left").select(F.col("id").alias(key), (F.coalesce("kept", F.lit(False)) | (F.size("tokens") < 1)).alias("kept"))
+    return found
 
 
 def near_unique(df: DataFrame, key: str, text: str, quality: str, threshold: float = 0.9) -> DataFrame:
     """Rows without those whose word pairs have a Jaccard similarity of ``threshold`` to a kept row of better quality, the
     smaller key of equals."""
     x = cut(df)
-    links = cut(jaccard_pairs(x.select(key, T.shingles(T.words(F.col(text)), 2).alias("s")), key, "s", threshold))
-    linked = links.select(F.col("left").alias(key)).unionByName(links.select(F.col("right").alias(key))).distinct()
-    ranks = cut(x.join(linked, key).select(key, F.struct((-F.col(quality)).alias("q"), F.col(key).alias("k")).alias("rank")))
-    of = lambda end, name: ranks.select(F.col(key).alias(end), F.col("rank").alias(name))
-    edges = links.join(of("left", "a"), "left").join(of("right", "b"), "right").select("a", "b")
-    gone = greedy_keep(ranks.select("rank"), edges).where(~F.col("kept")).select(F.col("rank.k").alias(key))
-    return x.join(gone, key, "left_anti")
+    marked = x.select(F.col(key), F.col(quality), T.shingles(T.words(F.col(text)), 2).alias("s"))
+    kept = first_wins(marked, key, "s", [(-F.col(quality)).alias("q"), F.col(key).alias("k")], threshold)
+    return x.join(kept.where("kept").select(key), key, "left_semi")
 
 
 def mix_targets(correct: int, wrong: int, share_correct: float = 0.25, block: int = 4) -> tuple[int, int]:

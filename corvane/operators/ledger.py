@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,7 +30,26 @@ def cost_quality(exact: str, estimated: str):
 
 
 def capped(events: DataFrame, keys: list[str], order: list[str], tokens: str, cap: int) -> DataFrame:
-    """Reservation against a hard cap: an event is admitted while the running sum of all before and itself stays within."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    used = F.sum(tokens).over(w)
-    return events.withColumns({"running_tokens": used, "admitted": used <= cap})
+    """Reservation against a hard cap: an event is admitted while its tokens and those of the admitted ones before it stay
+    within, so a refused event blocks no later one that still fits. Adds running_tokens (the admitted so far, null: none
+    asked for) and admitted. What was admitted decides what comes next, so a key's events are read in order by one task, a
+    batch at a time, with one number as state."""
+    names = events.columns
+    at = [names.index(k) for k in keys]
+    kind = events.withColumns({"running_tokens": F.lit(0).cast("long"), "admitted": F.lit(True)}).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, 0
+        for batch in batches:
+            mine = zip(*[batch.column(i).to_pylist() for i in at], strict=True) if at else [()] * batch.num_rows
+            sums, fits = [], []
+            for key, t in zip(mine, batch.column(names.index(tokens)).to_pylist(), strict=True):
+                if key != now:
+                    now, used = key, 0
+                fits.append(used + (t or 0) <= cap)
+                used += (t or 0) if fits[-1] else 0
+                sums.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64()), pa.array(fits, pa.bool_())], [*names, "running_tokens", "admitted"])
+
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)

@@ -12,35 +12,54 @@ from .common import cut
 
 
 def _ordered(df: DataFrame, tokens: str, key: str) -> DataFrame:
-    """(key, tokens) with tokens from rare to common over all of ``df``."""
-    flat = df.select(key, F.explode(tokens).alias("token"))
+    """(key, order): the 64-bit hashes of the tokens from rare to common over all of ``df``. They only choose candidates, so
+    two tokens of one hash cost a comparison at most."""
+    flat = df.select(key, F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("token"))
     df_of = flat.groupBy("token").agg(F.count("*").alias("df"))
-    return flat.join(df_of, "token").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+    return flat.join(df_of, "token").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("order"))
 
 
-def prefix(tokens: Column, threshold: float) -> Column:
+def prefix(tokens: Column, threshold: float, size: Column | None = None) -> Column:
     """The rarest tokens of which similar sets must share one: size - ceil(threshold * size) + 1."""
-    return F.slice(tokens, 1, F.greatest(F.lit(1), F.size(tokens) - F.ceil(F.size(tokens) * threshold - 1e-9).cast("int") + 1))
+    n = F.size(tokens) if size is None else size
+    return F.slice(tokens, 1, F.greatest(F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
 
 
-def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
-    """(left, right, similarity), left < right, of all pairs of at least ``threshold``, complete by prefix filtering.
-    Sets without tokens pair with nothing; equal sets are compared once and expanded at the end."""
+def set_classes(df: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal token sets as classes: members (set_key, id) and sets (set_key, tokens, order: their
+    hashes from rare to common). Rows without
+    tokens are in no class."""
     sets = cut(df.where(F.size(tokens) > 0).select(F.col(key).alias("id"), F.col(tokens).alias("tokens")).withColumn("set_key", F.sha2(F.array_join(F.array_sort("tokens"), "\x1f"), 256)))
-    classes = sets.groupBy("set_key").agg(F.first("tokens").alias("tokens"))
-    ordered = cut(_ordered(classes, "tokens", "set_key"))
-    index = ordered.select("set_key", F.size("tokens").alias("n"), F.explode(prefix(F.col("tokens"), threshold)).alias("token"))
+    different = cut(sets.groupBy("set_key").agg(F.first("tokens").alias("tokens")))
+    return sets.select("set_key", "id"), cut(different.join(_ordered(different, "tokens", "set_key"), "set_key"))
+
+
+def class_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, similarity), x < y, of all pairs of different sets of at least ``threshold``, complete by prefix filtering."""
+    index = sets.select("set_key", F.size("tokens").alias("n"), F.explode(prefix(F.col("order"), threshold, F.size("tokens"))).alias("token"))
     a, b = index.alias("a"), index.alias("b")
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_key") < F.col("b.set_key")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold))
     likely = met.select(F.col("a.set_key").alias("x"), F.col("b.set_key").alias("y")).distinct()
-    of = lambda k, v: ordered.select(F.col("set_key").alias(k), F.col("tokens").alias(v))
-    found = likely.join(of("x", "_x"), "x").join(of("y", "_y"), "y").select("x", "y", T.jaccard(F.col("_x"), F.col("_y")).alias("similarity")).where(F.col("similarity") >= threshold)
-    members = sets.select("set_key", "id")
-    same = members.alias("p").join(members.alias("q"), (F.col("p.set_key") == F.col("q.set_key")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("left"), F.col("q.id").alias("right"), F.lit(1.0).alias("similarity"))
-    cross = found.join(members.withColumnsRenamed({"set_key": "x", "id": "i"}), "x").join(members.withColumnsRenamed({"set_key": "y", "id": "j"}), "y")
+    of = lambda k, v: sets.select(F.col("set_key").alias(k), F.col("tokens").alias(v))
+    return likely.join(of("x", "_x"), "x").join(of("y", "_y"), "y").select("x", "y", T.jaccard(F.col("_x"), F.col("_y")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def spanned(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(left, right, similarity), left < right: the links of classes between their smallest ids, and each further member of a
+    class with its smallest at 1. So copies add a row each, not a pair with every other copy."""
+    first = cut(members.groupBy("set_key").agg(F.min("id").alias("first")))
+    same = members.join(first, "set_key").where("id > first").select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("similarity"))
+    cross = links.join(first.withColumnsRenamed({"set_key": "x", "first": "i"}), "x").join(first.withColumnsRenamed({"set_key": "y", "first": "j"}), "y")
     return same.unionByName(cross.select(F.least("i", "j").alias("left"), F.greatest("i", "j").alias("right"), "similarity"))
 
 
+def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
+    """(left, right, similarity) of ``spanned`` over the token sets: every pair of different sets of at least ``threshold``,
+    between the smallest ids that have them, and the copies. Sets without tokens pair with nothing."""
+    members, sets = set_classes(df, key, tokens)
+    return spanned(members, class_links(sets, threshold))
+
+
 def best_match(items: DataFrame, key: str, tokens: str, others: DataFrame, other_key: str, other_tokens: str, score) -> DataFrame:
     """(key, other_key, similarity): for each item the best of the others that share a token with it, by ``score`` of the
     two token columns; the smallest other_key of equals. Items that share nothing are absent."""
@@ -52,26 +71,61 @@ def best_match(items: DataFrame, key: str, tokens: str, others: DataFrame, other
 
 
 def minhash_pairs(df: DataFrame, key: str, items: str, permutations: int, bands: int | None, threshold: float) -> DataFrame:
-    """(left, right, similarity) of pairs that share a band of their signatures and agree in ``threshold`` of all places.
-    Without ``bands`` there is one more than places may differ, so that every such pair shares one."""
+    """(left, right, similarity) of ``spanned`` over signatures: pairs of different ones that share a band and agree in
+    ``threshold`` of all places, and rows of equal ones. Without ``bands`` there is one more than places may differ, so that every
+    such pair shares one; with b bands of r places a pair of similarity s shares one but for (1 - s^r)^b of all cases."""
     if bands is None:
         bands = permutations - math.ceil(permutations * threshold - 1e-9) + 1
     at = [b * permutations // bands for b in range(bands + 1)]
-    signed = df.where(F.size(items) > 0).select(key, T.minhash(F.col(items), permutations).alias("sig"))
-    banded = signed.select(key, "sig", F.posexplode(F.array(*[F.array_join(F.slice("sig", i + 1, j - i), ",") for i, j in zip(at[:-1], at[1:], strict=True)])).alias("band", "value"))
+    signed = df.where(F.size(items) > 0).select(F.col(key).alias("id"), T.minhash(F.col(items), permutations).alias("sig"))
+    signed = cut(signed.withColumn("set_key", F.md5(F.array_join("sig", ","))))
+    classes = cut(signed.groupBy("set_key").agg(F.first("sig").alias("sig")))
+    banded = classes.select("set_key", F.posexplode(F.array(*[F.xxhash64(F.slice("sig", i + 1, j - i)) for i, j in zip(at[:-1], at[1:], strict=True)])).alias("band", "value"))
     a, b = banded.alias("a"), banded.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    scored = met.select(F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), T.signature_similarity(F.col("a.sig"), F.col("b.sig")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold).distinct()
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.set_key") < F.col("b.set_key")))
+    likely = met.select(F.col("a.set_key").alias("x"), F.col("b.set_key").alias("y")).distinct()
+    of = lambda k, v: classes.select(F.col("set_key").alias(k), F.col("sig").alias(v))
+    shares = F.exists(F.array(*[F.slice("_x", i + 1, j - i) == F.slice("_y", i + 1, j - i) for i, j in zip(at[:-1], at[1:], strict=True)]), lambda same: same)
+    scored = likely.join(of("x", "_x"), "x").join(of("y", "_y"), "y").where(shares).select("x", "y", T.signature_similarity(F.col("_x"), F.col("_y")).alias("similarity"))
+    return spanned(signed.select("set_key", "id"), scored.where(F.col("similarity") >= threshold))
+
+
+#: Queries and corpus rows of one cell of an exact search.
+QUERY_BLOCK, CORPUS_BLOCK = 2_048, 16_384
 
 
 def top_cosine(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, match, similarity, rank): the ``k`` nearest of the corpus to each query, itself excluded. ``queries`` must be
-    a bounded set: it is compared with every corpus row, the corpus read once, and each task keeps k a query."""
+    """(query, match, similarity, rank): the ``k`` nearest of the corpus to each query, itself excluded, by cosine in double
+    precision; the smaller match of equals. Both sides are dealt to blocks, whose sizes bound a task's memory whatever the
+    number of rows; each cell of two blocks is one matrix product and gives k a query. Null vectors and those with null,
+    non-finite or only zero entries match nothing; all vectors have the size of the first."""
+    import numpy as np
+    import pandas as pd
     from pyspark.sql import Window as W
 
-    a = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    b = corpus.select(F.col(key).alias("match"), F.col(vector).alias("_v"))
-    scored = b.join(F.broadcast(a), F.col("query") != F.col("match")).select("query", "match", T.cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+    kind = corpus.schema[key].dataType.simpleString()
+    sound = lambda df: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+    q, c = sound(queries), sound(corpus)
+    across, down = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // CORPUS_BLOCK))
+    block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("id", "v", block(across, 1).alias("a"), every(down).alias("b"))
+    right = c.select("id", "v", every(across).alias("a"), block(down, 2).alias("b"))
+
+    def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": [], "match": [], "similarity": []}).astype({"query": "int64", "match": "int64", "similarity": "float64"})
+        if not len(x) or not len(y):
+            return empty
+        y = y.sort_values("id", kind="stable")
+        u, v = (np.stack(f["v"].to_numpy()) for f in (x, y))
+        ids, names = y["id"].to_numpy(), x["id"].to_numpy()
+        s = np.clip(u @ v.T / np.linalg.norm(u, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None, :], -1.0, 1.0)
+        s[names[:, None] == ids[None, :]] = -np.inf
+        n = min(k, len(ids))
+        best = np.argsort(-s, axis=1, kind="stable")[:, :n]
+        out = pd.DataFrame({"query": np.repeat(names, n), "match": ids[best].ravel(), "similarity": np.take_along_axis(s, best, axis=1).ravel()})
+        return out[np.isfinite(out["similarity"])]
+
+    scored = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, f"query {kind}, match {kind}, similarity double")
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "match")))
     return ranked.where(F.col("rank") <= k)

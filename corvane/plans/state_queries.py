@@ -74,7 +74,7 @@ def idempotent(spark, sf):
 
 def budget_cap(spark, sf):
     x = ledger.capped(tokens(spark, sf), ["user_id"], ["ts", "event_id"], "tokens", 2_000)
-    return x.groupBy("user_id").agg(F.count_if("admitted").alias("admitted"), F.max(F.when(F.col("admitted"), F.col("running_tokens"))).alias("used"))
+    return x.groupBy("user_id").agg(F.count_if("admitted").alias("admitted"), F.max("running_tokens").alias("used"))
 
 
 def cost_quality(spark, sf):
@@ -231,7 +231,7 @@ QUERIES = {
     "plan_fallback": (fallback, f"WITH {POOL}, q AS (SELECT category || '/' || sub_category AS fine, category AS coarse, unique_key FROM p WHERE grade = 'train_eligible'), pl(fine, coarse) AS (VALUES ('A/F', 'A'), ('A/X', 'A'), ('N/O', 'N'), ('Q/F', 'Q')), a AS (SELECT *, row_number() OVER (PARTITION BY fine ORDER BY unique_key) AS k FROM q), b AS (SELECT *, row_number() OVER (PARTITION BY coarse ORDER BY unique_key) AS k FROM q) SELECT unique_key, 'fine' AS matched_on, k AS rank FROM pl JOIN a USING (fine) WHERE k <= 3 UNION ALL SELECT unique_key, 'coarse', k FROM pl JOIN b ON b.coarse = pl.coarse WHERE k <= 3 AND pl.fine NOT IN (SELECT fine FROM q)"),
     "ledger_rollup": (ledger_rollup, f"WITH {TOK} SELECT user_id, event_type, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS peak_tokens, round(sum(tokens) / 1e6 * 3.0, 6) AS cost FROM e GROUP BY ALL"),
     "idempotent_events": (idempotent, "SELECT event_type, count(*) AS events FROM events GROUP BY event_type"),
-    "budget_cap": (budget_cap, f"WITH {TOK}, r AS (SELECT user_id, sum(tokens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS u FROM e) SELECT user_id, count_if(u <= 2000) AS admitted, CAST(max(CASE WHEN u <= 2000 THEN u END) AS BIGINT) AS used FROM r GROUP BY user_id"),
+    "budget_cap": (budget_cap, f"WITH {TOK}, l AS (SELECT user_id, list(coalesce(tokens, 0) ORDER BY ts, event_id) AS t FROM e GROUP BY user_id), r AS (SELECT user_id, list_reduce(list_prepend({{'u': 0::BIGINT, 'n': 0::BIGINT}}, list_transform(t, lambda v: {{'u': v, 'n': 0::BIGINT}})), lambda a, v: CASE WHEN a.u + v.u <= 2000 THEN {{'u': a.u + v.u, 'n': a.n + 1}} ELSE a END) AS x FROM l) SELECT user_id, x.n AS admitted, x.u AS used FROM r"),
     "cost_quality": (cost_quality, "WITH u AS (SELECT user_id, count_if(event_type = 'click') AS e, count_if(event_type = 'view') AS s FROM events GROUP BY 1) SELECT CASE WHEN e = 0 AND s = 0 THEN 'no_token_calls' WHEN s = 0 THEN 'exact' WHEN e = 0 THEN 'estimated' ELSE 'mixed' END AS quality, count(*) AS users FROM u GROUP BY 1"),
     "ledger_efficiency": (efficiency, f"WITH {TOK} SELECT event_type, round(sum(value) / (sum(tokens) / 1000), 4) AS gain_per_1k_tokens, round(sum(value) / (count(*) / 60.0), 4) AS gain_per_hour FROM e GROUP BY event_type"),
     "upsert_rows": (upsert, "WITH u AS (SELECT o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice END AS v FROM orders UNION ALL SELECT 'N', 1.0) SELECT o_orderstatus, count(*) AS n, round(sum(v), 2) AS total FROM u GROUP BY 1"),

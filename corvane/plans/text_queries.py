@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as X
 from ..functions import text as T
 from ..operators import audit, curation, pairs
-from ..operators.common import cut
 from .base import ITEMS, items, norm_sql, shingles_sql, table, template_sql, words_sql
 
 
+#: Places of a MinHash signature.
+PERMUTATIONS = 128
+
+
 def text_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalized(F.col("text")).alias("norm"))
 
@@ -67,44 +70,38 @@ def pair_tfidf(spark, sf):
     return a.join(b, "a").select(F.col("a").alias("item_id"), F.round(T.pair_tfidf(F.col("wa"), F.col("wb")), 6).alias("cosine"))
 
 
+def hashed_texts(spark, sf):
+    """All of benchmark and documents with their MinHash shingles."""
+    x = table(spark, sf, "benchmark").select("item_id", "text").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1_000_000_000).alias("item_id"), "text"))
+    return x.select("item_id", T.ascii_shingles(F.col("text")).alias("s"))
+
+
 def minhash_signature(spark, sf):
-    x = table(spark, sf, "benchmark").select("item_id", T.minhash(T.ascii_shingles(F.col("text")), 16).alias("sig"))
-    return x.select("item_id", F.array_join("sig", ",").alias("signature"))
+    return hashed_texts(spark, sf).select("item_id", F.array_join(T.minhash(F.col("s"), PERMUTATIONS), ",").alias("signature"))
 
 
 def minhash_pairs(spark, sf):
-    x = table(spark, sf, "benchmark").select("item_id", "text").unionByName(table(spark, sf, "documents").where("n_chars < 200").select((F.col("doc_id") + 1_000_000_000).alias("item_id"), "text"))
-    p = pairs.minhash_pairs(x.withColumn("s", T.ascii_shingles(F.col("text"))), "item_id", "s", 32, 8, 0.7)
+    """Bands of four places: of pairs of similarity 0.78 all but 4e-7 share one, of 0.7 all but 2e-4."""
+    p = pairs.minhash_pairs(hashed_texts(spark, sf), "item_id", "s", PERMUTATIONS, PERMUTATIONS // 4, 0.78)
     return p.select("left", "right", F.round("similarity", 6).alias("similarity"))
 
 
 def minhash_pairs_all(spark, sf):
-    """``minhash_pairs`` over all of documents and benchmark, complete at the threshold."""
-    x = table(spark, sf, "benchmark").select("item_id", "text").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1_000_000_000).alias("item_id"), "text"))
-    p = pairs.minhash_pairs(cut(x.select("item_id", T.ascii_shingles(F.col("text")).alias("s"))), "item_id", "s", 32, None, 0.7)
+    """As ``minhash_pairs`` with as many bands as make it complete at 0.7 of the places of a signature."""
+    p = pairs.minhash_pairs(hashed_texts(spark, sf), "item_id", "s", 32, None, 0.7)
     return p.select("left", "right", F.round("similarity", 6).alias("similarity"))
 
 
 def embedding_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    x = pairs.top_cosine(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
+    x = pairs.top_cosine(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
     return x.select("query", "match", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def greedy_near_dedup(spark, sf):
     """First-wins near-duplicate removal over exact Jaccard links of word pairs, in order of quality."""
-    from pyspark.sql import Window as W
-
-    x = items(spark, sf).withColumn("s", T.shingles(T.words(F.col("question")), 2))
-    x = cut(x.select("id", "s", F.col("confidence")))
-    links = cut(pairs.jaccard_pairs(x, "id", "s", 0.8))
-    linked = links.select(F.col("left").alias("id")).unionByName(links.select(F.col("right").alias("id"))).distinct().join(x.select("id", "confidence"), "id")
-    # A rank by quality that needs no global sort: the pair itself is the order, as one string.
-    order = F.format_string("%08.5f|%020d", 1 - F.col("confidence"), F.col("id"))
-    ranks = cut(linked.select("id", order.alias("rank")))
-    edges = links.join(ranks.select(F.col("id").alias("left"), F.col("rank").alias("a")), "left").join(ranks.select(F.col("id").alias("right"), F.col("rank").alias("b")), "right")
-    kept = curation.greedy_keep(ranks.select("rank"), edges.select("a", "b")).join(ranks, "rank")
-    return x.select("id").join(kept.select("id", "kept"), "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    x = items(spark, sf).select("id", "confidence", T.shingles(T.words(F.col("question")), 2).alias("s"))
+    return curation.first_wins(x, "id", "s", [(-F.col("confidence")).alias("q"), F.col("id").alias("k")], 0.8)
 
 
 def structure_audit(spark, sf):
@@ -159,7 +156,8 @@ def keyword_sql(rules, text: str, default: str) -> str:
     return f"CASE {cases} ELSE '{default}' END"
 
 
-MINHASH = "list_transform(range(0, {p}), lambda p: list_min(list_transform(s, lambda x: CAST('0x' || substr(md5(p::VARCHAR || ':' || x), 1, 7) AS BIGINT))))"
+MINHASH = "list_transform(range(0, {p}), lambda p: list_min(list_transform(h, lambda x: ((1 + (p + 1) * 2654435761 % 2147483646) * x + (p + 1) * 1597334677 % 2147483647) % 2147483647)))"
+HASHED = "list_transform(s, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT))"
 ASCII = "list_distinct(CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || chr(9247) || t[i + 1]) WHEN len(t) > 0 THEN t ELSE CAST([] AS VARCHAR[]) END)"
 TOKENS = r"regexp_extract_all(lower(trim(text)), '([a-z0-9_]+|[^\p{L}\p{N}_\s])', 1)"
 
@@ -193,20 +191,23 @@ QUERIES = {
     "holdout_containment": (holdout_containment, f"""WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), h AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark),
       dg AS (SELECT doc_id, unnest({shingles_sql('w', 5)}) AS g FROM d), hs AS (SELECT item_id, {shingles_sql('w', 5)} AS s FROM h), hg AS (SELECT item_id, len(s) AS size, unnest(s) AS g FROM hs)
       SELECT * FROM (SELECT doc_id, item_id, round(count(*) / any_value(size), 6) AS containment FROM dg JOIN hg USING (g) GROUP BY doc_id, item_id) WHERE containment >= 0.8"""),
-    "pair_jaccard": (pair_jaccard, f"""WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), s AS (SELECT doc_id, {shingles_sql('w', 2)} AS s FROM d), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+    "pair_jaccard": (pair_jaccard, f"""WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), s AS (SELECT doc_id, list_sort({shingles_sql('w', 2)}) AS s FROM d), f AS (SELECT s, min(doc_id) AS doc_id FROM s WHERE len(s) > 0 GROUP BY s), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM f),
       c AS (SELECT a.doc_id AS l, b.doc_id AS r, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-      SELECT l AS left, r AS right, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k / (na + nb - k) >= 0.8"""),
+      SELECT l AS left, r AS right, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k / (na + nb - k) >= 0.8
+      UNION ALL SELECT f.doc_id, s.doc_id, 1.0 FROM s JOIN f USING (s) WHERE s.doc_id > f.doc_id"""),
     "pair_tfidf": (pair_tfidf, f"""WITH h AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), h1 AS (SELECT item_id, g, count(*) AS c FROM (SELECT item_id, unnest(w) AS g FROM h) GROUP BY ALL),
       n AS (SELECT item_id, sum(c * c) AS s FROM h1 GROUP BY item_id), k AS (SELECT (ln(1.5) + 1) * (ln(1.5) + 1) AS q),
       m AS (SELECT a.item_id, sum(a.c * b.c) AS dot, sum(a.c * a.c) AS ha, sum(b.c * b.c) AS hb FROM h1 a JOIN h1 b ON b.item_id = a.item_id + 1 AND a.g = b.g GROUP BY 1)
       SELECT a.item_id, round(coalesce(m.dot, 0) / sqrt((q * a.s - (q - 1) * coalesce(ha, 0)) * (q * b.s - (q - 1) * coalesce(hb, 0))), 6) AS cosine FROM n a JOIN n b ON b.item_id = a.item_id + 1 CROSS JOIN k LEFT JOIN m ON m.item_id = a.item_id"""),
-    "minhash_signature": (minhash_signature, f"WITH x AS (SELECT item_id, {TOKENS} AS t FROM benchmark), y AS (SELECT item_id, {ASCII} AS s FROM x) SELECT item_id, array_to_string({MINHASH.format(p=16)}, ',') AS signature FROM y"),
-    "minhash_pairs": (minhash_pairs, f"""WITH u AS (SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE n_chars < 200), x AS (SELECT item_id, {TOKENS} AS t FROM u), y AS (SELECT item_id, {ASCII} AS s FROM x WHERE len(t) > 0),
-      z AS (SELECT item_id, {MINHASH.format(p=32)} AS sig FROM y), b AS (SELECT item_id, sig, k, array_to_string(sig[k * 4 + 1 : k * 4 + 4], ',') AS v FROM z, range(0, 8) r(k)),
-      c AS (SELECT DISTINCT a.item_id AS l, b.item_id AS r, a.sig AS sa, b.sig AS sb FROM b a JOIN b ON a.k = b.k AND a.v = b.v AND a.item_id < b.item_id)
-      SELECT l AS left, r AS right, round(len(list_filter(range(1, 33), lambda i: sa[i] = sb[i])) / 32, 6) AS similarity FROM c WHERE len(list_filter(range(1, 33), lambda i: sa[i] = sb[i])) / 32 >= 0.7"""),
+    "minhash_signature": (minhash_signature, f"""WITH u AS (SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id + 1000000000, text FROM documents), x AS (SELECT item_id, {TOKENS} AS t FROM u), y AS (SELECT item_id, {ASCII} AS s FROM x),
+      z AS (SELECT item_id, {HASHED} AS h FROM y) SELECT item_id, array_to_string({MINHASH.format(p=PERMUTATIONS)}, ',') AS signature FROM z"""),
+    "minhash_pairs": (minhash_pairs, f"""WITH u AS (SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id + 1000000000, text FROM documents), x AS (SELECT item_id, {TOKENS} AS t FROM u), y AS (SELECT item_id, {ASCII} AS s FROM x WHERE len(t) > 0), h AS (SELECT item_id, {HASHED} AS h FROM y),
+      z AS (SELECT item_id, {MINHASH.format(p=PERMUTATIONS)} AS sig FROM h), c AS (SELECT sig, min(item_id) AS first FROM z GROUP BY sig),
+      b AS (SELECT first, sig, k, array_to_string(sig[k * 4 + 1 : k * 4 + 4], ',') AS v FROM c, range(0, {PERMUTATIONS // 4}) r(k)), m AS (SELECT DISTINCT a.first AS l, b.first AS r, a.sig AS sa, b.sig AS sb FROM b a JOIN b ON a.k = b.k AND a.v = b.v AND a.first < b.first),
+      s AS (SELECT l, r, len(list_filter(range(1, {PERMUTATIONS + 1}), lambda i: sa[i] = sb[i])) / {PERMUTATIONS} AS similarity FROM m)
+      SELECT l AS left, r AS right, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.78 UNION ALL SELECT c.first, z.item_id, 1.0 FROM z JOIN c USING (sig) WHERE z.item_id > c.first"""),
     "minhash_pairs_all": (minhash_pairs_all, None),
-    "embedding_topk": (embedding_topk, """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS match, list_cosine_similarity(a.v, b.v) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+    "embedding_topk": (embedding_topk, """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS match, list_cosine_similarity(a.v, b.v) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
       SELECT query, match, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match) AS rank FROM s) WHERE rank <= 5"""),
     "greedy_near_dedup": (greedy_near_dedup, None),
     "training_overlap_audit": (structure_audit, f"""WITH a AS (SELECT doc_id, {N} AS n, {TP} AS t FROM documents), i AS (SELECT *, min(doc_id) OVER (PARTITION BY n) AS f FROM a WHERE doc_id % 5 = 0), tr AS (SELECT * FROM a WHERE doc_id % 5 <> 0),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,11 +41,43 @@ def test_blind_set(spark):
     prior = spark.createDataFrame([(1, "Compute 2 + 3 now"), (2, "Solve x = 4 for the matrix")], "pid long, question string")
     rows = [(10, "compute 2 + 3 now", "b"), (11, "Compute 7 + 8 now", "b"), (12, "Solve y = 9 for the matrix", "b"), (13, "a wholly different question about trees", "b"), (14, "A wholly different question about trees!", "b"), (15, "something else again entirely", "b")]
     items = spark.createDataFrame(rows, "id long, question string, bucket string")
-    rules = {(r.id, r.pid): r.rule for r in C.collisions(items, "id", prior, "pid").collect()}
-    assert rules[10, 1] == "exact_text" and rules[11, 1] == "parameterized_template" and (13, 1) not in rules
+    hit = C.colliding(C.collision_keys(items, "id", "question"), C.collision_keys(prior, "pid", "question"))
+    assert {r.id for r in hit.collect()} == {10, 11, 12}
     assert {r.id for r in C.blind_set(items, prior, "id", "pid", ["bucket"], 5).collect()} == {13, 15}
 
 
+def test_blind_set_equals_one_row_at_a_time(spark):
+    """Copies, templates, shared operations and near texts, against the rules applied to every pair in turn."""
+    rng = np.random.default_rng(11)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 40, 12)) for _ in range(12)]
+    texts = []
+    for _ in range(90):
+        t = base[rng.integers(0, 12)].split()
+        if rng.random() < 0.5:
+            t[rng.integers(0, 12)] = f"z{rng.integers(0, 5)}"
+        if rng.random() < 0.3:
+            t += [f"solve {rng.integers(0, 90)} + x", "probability of <", "matrix"][rng.integers(0, 3)].split()
+        texts.append(" ".join(t))
+    texts += ["", " ", "!!"]
+    df = spark.createDataFrame([(i, t, "b") for i, t in enumerate(texts)], "id long, question string, bucket string").repartition(3)
+    prior = df.where("id % 11 = 3").select(F.col("id").alias("pid"), "question")
+    items = df.where("id % 11 <> 3")
+    facts = {r.id: r for r in C.collision_keys(df, "id", "question").collect()}
+
+    def alike(x, y, least):
+        return bool(x) and bool(y) and len(set(x) & set(y)) / len(set(x) | set(y)) >= least
+
+    def collide(x, y):
+        operation = set(x.s) & set(y.s) & set(C.OPERATIONS)
+        return x.n == y.n or (x.t != "" and x.t == y.t) or alike(x.w, y.w, 0.85) or alike(x.p, y.p, 0.85) or (bool(operation) and alike(x.s, y.s, 0.8))
+
+    kept: list[int] = []
+    for i in sorted(i for i in facts if i % 11 != 3):
+        if not any(collide(facts[i], facts[p]) for p in facts if p % 11 == 3) and not any(collide(facts[i], facts[k]) for k in kept):
+            kept.append(i)
+    assert {r.id for r in C.blind_set(items, prior, "id", "pid", ["bucket"], 1_000).collect()} == set(kept) and 3 < len(kept) < 60
+
+
 def test_guidance_is_diverse(spark):
     rows = [(i, f"question {'abcdefgh'[i % 8] * 3} {'xyzw'[i % 4] * (i + 2)} words", "k", i % 2, i % 3) for i in range(24)] + [(99, "question aaa xx words", "k", 0, 0)]
     got = C.guidance(spark.createDataFrame(rows, "id long, question string, b string, f int, g int"), ["b"], "id", ["f", "g"], 6).collect()

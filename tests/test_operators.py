@@ -16,7 +16,7 @@ from corvane.functions import difficulty as D
 from corvane.functions import numeric as N
 from corvane.functions import taxonomy as X
 from corvane.functions import text as T
-from corvane.operators import agreement, allocate, audit, calibration, curation, equivalence, pairs, pool, split, stats, study, summary
+from corvane.operators import agreement, allocate, audit, calibration, curation, equivalence, ledger, pairs, pool, split, stats, study, summary
 from corvane.sources import readers, writers
 from corvane.streaming import events
 
@@ -73,7 +73,47 @@ def test_jaccard_join_is_complete(spark):
         x, y = set(sets[a]), set(sets[b])
         if x and y and len(x & y) / len(x | y) >= 0.5:
             want[a, b] = len(x & y) / len(x | y)
-    assert got == pytest.approx(want) and want
+    first = {tuple(s): min(i for i in sets if sets[i] == s) for s in sets.values()}  # copies are linked with the first only
+    spanned = {(a, b): v for (a, b), v in want.items() if (first[tuple(sets[a])] == a and (first[tuple(sets[b])] in (a, b)))}
+    assert got == pytest.approx(spanned) and 0 < len(spanned) < len(want)
+
+
+def test_first_wins_equals_one_row_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    sets = {i: sorted({f"t{x}" for x in rng.integers(0, 12, rng.integers(0, 8))}) for i in range(80)}
+    quality = {i: int(rng.integers(0, 4)) for i in sets}
+    df = spark.createDataFrame([(i, s, quality[i]) for i, s in sets.items()], "id int, s array<string>, q int")
+    kept: list[int] = []
+    for i in sorted(sets, key=lambda i: (-quality[i], i)):
+        x = set(sets[i])
+        if not x or not any(len(x & set(sets[k])) / len(x | set(sets[k])) >= 0.6 for k in kept if sets[k]):
+            kept.append(i)
+    got = curation.first_wins(df, "id", "s", [(-F.col("q")).alias("q"), F.col("id").alias("k")], 0.6).collect()
+    assert len(got) == 80 and {r.id for r in got if r.kept} == set(kept)
+
+
+def test_exact_search_by_blocks(spark, monkeypatch):
+    """Blocks of any size give the neighbours that brute force does; unsound vectors match nothing."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(90, 6))
+    rows = [(i, [float(x) for x in v[i]]) for i in range(90)] + [(90, None), (91, [0.0] * 6), (92, [float("nan")] * 6), (93, [None] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pairs, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(pairs, "CORPUS_BLOCK", 20)
+    got = {(r["query"], r["rank"]): (r.match, r.similarity) for r in pairs.top_cosine(df.where("vec_id % 5 = 0"), df, "vec_id", "embedding", 3).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    for q in range(0, 90, 5):
+        s = u @ u[q]
+        s[q] = -2
+        for n, m in enumerate(np.argsort(-s)[:3]):
+            assert got.pop((q, n + 1)) == (m, pytest.approx(s[m]))
+    assert not got
+
+
+def test_refused_events_block_no_later_ones(spark):
+    rows = [(1, 1, 100), (1, 2, 5_000), (1, 3, 50), (2, 1, None), (2, 2, 2_000), (2, 3, 1), (None, 1, 3)]
+    got = ledger.capped(spark.createDataFrame(rows, "k long, at long, t long").repartition(3), ["k"], ["at"], "t", 2_000).collect()
+    assert {(r.k, r.at): (r.running_tokens, r.admitted) for r in got} == {(1, 1): (100, True), (1, 2): (100, False), (1, 3): (150, True), (2, 1): (0, True), (2, 2): (2_000, True), (2, 3): (2_000, False), (None, 1): (3, True)}
 
 
 def test_greedy_keep_is_the_first_independent_set(spark):
@@ -298,12 +338,30 @@ def test_minhash_pairs_over_all_documents_equal_brute_force(spark, sf_dir):
     held = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("k"), "text")
     signed = docs.unionByName(held).withColumn("s", T.ascii_shingles(F.col("text"))).where(F.size("s") > 0)
     sig = sorted((r.k, np.array(r.sig)) for r in signed.select("k", T.minhash(F.col("s"), 32).alias("sig")).collect())
-    want = {(a, b): n / 32 for (a, x), (b, y) in itertools.combinations(sig, 2) if (n := int((x == y).sum())) >= 23}
+    first: dict = {}
+    for k, x in sig:
+        first.setdefault(tuple(x), k)
+    want = {(a, b): n / 32 for (a, x), (b, y) in itertools.combinations(sig, 2) if (n := int((x == y).sum())) >= 23 and first[tuple(x)] == a and first[tuple(y)] in (a, b)}
     got = {(r.left, r.right): r.similarity for r in minhash_pairs_all(spark, sf_dir).collect()}
     assert got == {p: round(v, 6) for p, v in want.items()}
     assert any(a > 1_000_000_000 for a, _ in got)
 
 
+def test_minhash_pairs_find_what_is_alike(spark, sf_dir):
+    """Recall against exact Jaccard similarity, over all documents and benchmark items and over made near copies."""
+    rng = np.random.default_rng(13)
+    made = []
+    for k in range(60):
+        own = [f"{k}w{x}" for x in range(200)]
+        for c in range(3):
+            made.append((10 * k + c, [f"{c}e{k}-{x}" if rng.random() < 0.04 * c else w for x, w in enumerate(own)]))
+    df = spark.createDataFrame(made, "id long, s array<string>")
+    sets = {i: set(s) for i, s in made}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85}
+    got = {(r.left, r.right) for r in pairs.minhash_pairs(df, "id", "s", 128, 32, 0.78).collect()}
+    assert len(want) > 60 and len(want & got) >= 0.97 * len(want)
+
+
 def test_complete_minhash_bands_miss_no_pair(spark):
     """Two sets whose signatures agree in 23 places, with a difference in each of eight bands."""
     rng = np.random.default_rng(3)
