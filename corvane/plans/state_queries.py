@@ -254,6 +254,8 @@ QUERIES = {
     "stream_ledger": (stream_ledger, f"WITH {TOK} SELECT user_id, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS peak_tokens FROM e GROUP BY user_id"),
     "stream_decay": (stream_decay, "WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT day, event_type, n, round(n * exp(-0.1 * date_diff('day', day, DATE '2024-02-01')), 6) AS weighted FROM d"),
     "stream_lifecycle": (stream_lifecycle, "WITH e AS (SELECT user_id % 40 AS sample, ts, event_id, value > 50 AS ok FROM events), l AS (SELECT *, max(CASE WHEN NOT ok THEN (ts, event_id) END) OVER (PARTITION BY sample) AS bad FROM e) SELECT sample, CASE WHEN count_if(ok AND (bad IS NULL OR (ts, event_id) > bad)) >= 2 THEN 'mastered' ELSE 'active' END AS state, count_if(ok AND (bad IS NULL OR (ts, event_id) > bad)) AS streak, count_if(NOT ok) AS failures, count(*) AS tests FROM l GROUP BY sample"),
-    "stream_cooldown": (stream_cooldown, None),
-    "stream_budget_cap": (stream_cap, None),
+    "stream_cooldown": (stream_cooldown, """WITH l AS (SELECT event_type, list({'f': value > 80, 'm': 0, 'w': 0, 'b': 0::BIGINT, 'n': 0::BIGINT} ORDER BY ts, event_id) AS v FROM events GROUP BY event_type),
+      r AS (SELECT event_type, list_reduce(list_prepend({'f': false, 'm': 0, 'w': 0, 'b': 0::BIGINT, 'n': 0::BIGINT}, v), lambda a, x: CASE WHEN a.w > 0 THEN {'f': a.f, 'm': a.m, 'w': a.w - 1, 'b': a.b + 1, 'n': a.n + 1} WHEN x.f THEN {'f': a.f, 'm': 0, 'w': 0, 'b': a.b, 'n': a.n + 1} WHEN a.m >= 2 THEN {'f': a.f, 'm': 0, 'w': 2, 'b': a.b, 'n': a.n + 1} ELSE {'f': a.f, 'm': a.m + 1, 'w': 0, 'b': a.b, 'n': a.n + 1} END) AS s FROM l)
+      SELECT event_type, s.n AS rounds, s.b AS blocked FROM r"""),
+    "stream_budget_cap": (stream_cap, f"WITH {TOK}, l AS (SELECT user_id, list(tokens ORDER BY ts, event_id) AS t FROM e GROUP BY user_id), r AS (SELECT user_id, list_reduce(list_prepend({{'u': 0::BIGINT, 'n': 0::BIGINT}}, list_transform(t, lambda v: {{'u': v, 'n': 0::BIGINT}})), lambda a, v: CASE WHEN a.u + v.u <= 500 THEN {{'u': a.u + v.u, 'n': a.n + 1}} ELSE a END) AS x FROM l) SELECT user_id, x.n AS admitted, x.u AS used FROM r"),
 }

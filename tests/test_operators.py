@@ -309,6 +309,40 @@ def test_streams_keep_state_over_batches(spark, tmp_path):
     assert {r["sample"]: (r.tests, r.failures) for r in got} == {s: (15, sum(1 for i, _, k, ok in rows if k == s and not ok)) for s in (0, 1)}
 
 
+def test_repeated_deliveries_count_once(spark, tmp_path):
+    """A batch that comes again changes neither the admitted calls nor the blocked rounds nor the upserted rows."""
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(minutes=k), k % 2, (k * 37) % 60, k % 5 == 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, k long, t long, fruitful boolean")
+    src = f"{tmp_path}/in"
+    for first, last in ((0, 20), (0, 20), (20, 40), (10, 30)):
+        df.where(f"event_id >= {first} AND event_id < {last}").coalesce(1).write.mode("append").parquet(src)
+    read = lambda: events.read(spark, src, "event_id long, ts timestamp, k long, t long, fruitful boolean", files_per_batch=1)
+    used, want = {0: 0, 1: 0}, {}
+    for event, _, k, t, _ in rows:
+        fits = used[k] + t <= 300
+        used[k] += t if fits else 0
+        want[event] = (fits, used[k])
+    got = events.finished(events.budget_cap(read(), "k", "t", 300), "append").collect()
+    assert {r.event_id: (r.admitted, r.used) for r in got} == want and len(got) == 40
+    assert events.finished(events.cooldown(read(), "k"), "append").count() == 40
+    totals = events.finished(events.ledger(read(), ["k"], F.col("t")), "complete").collect()
+    assert {r.k: (r.events, r.tokens) for r in totals} == {k: (20, sum(r[3] for r in rows if r[2] == k)) for k in (0, 1)}
+
+
+def test_upserts_keep_what_other_batches_wrote(spark, tmp_path):
+    src, out = f"{tmp_path}/src", f"{tmp_path}/out"
+    schema = "k long, part long, v string, n long"
+    for batch in ([(1, 1, "a", 1), (2, 1, "b", 1)], [(3, 1, "c", 2)], [(1, 1, "d", 3), (1, 1, "e", 4)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    for _ in range(2):  # a second run finds nothing new
+        events.upsert_sink(events.read(spark, src, schema, files_per_batch=1), out, f"{tmp_path}/state").awaitTermination()
+    got = events.upserted(spark, out, ["k"], ["n"]).collect()
+    assert {r.k for r in got} == {1, 2, 3} and len(got) == 3 and next(r.v for r in got if r.k == 2) == "b"
+
+
 def test_greedy_choice_is_whole_or_fails(spark):
     """A chain keeps every second node however many rounds it takes; a limit that is too low is an error."""
     nodes = spark.range(9).select(F.col("id").alias("rank"))
