@@ -141,8 +141,9 @@ def error_signatures(spark, sf):
 
 def numeric_equivalence(spark, sf):
     x = table(spark, sf, "lineitem").select("l_linenumber", F.format_string("%.2f", "l_discount").alias("gold"), F.concat(F.format_string("%.0f", F.col("l_discount") * 100), F.lit("%")).alias("percent"), F.concat(F.format_string("%.0f", F.col("l_discount") * 100), F.lit("/100")).alias("fraction"), F.format_string("%.2f", F.col("l_tax")).alias("other"))
-    same = lambda c, kind: F.sum(A.equivalent(F.col("gold"), F.col(c), F.lit(kind))["equivalent"].cast("long"))
-    return x.groupBy("l_linenumber").agg(F.count("*").alias("n"), same("percent", "percentage").alias("as_percent"), same("fraction", "rational").alias("as_fraction"), same("other", "decimal").alias("as_tax"))
+    x = x.groupBy(*x.columns).agg(F.count("*").alias("rows"))  # each different row is parsed once
+    same = lambda c, kind: F.sum(F.when(A.equivalent(F.col("gold"), F.col(c), F.lit(kind))["equivalent"], F.col("rows")).otherwise(0))
+    return x.groupBy("l_linenumber").agg(F.sum("rows").alias("n"), same("percent", "percentage").alias("as_percent"), same("fraction", "rational").alias("as_fraction"), same("other", "decimal").alias("as_tax"))
 
 
 def judge_fusion(spark, sf):
@@ -160,14 +161,32 @@ def response_parse(spark, sf):
     return c.select("conv_id", "turn", p["status"].alias("status"), p["confidence"].alias("confidence"), F.length(p["final_answer"]).alias("answer_length"))
 
 
-#: Answer pairs of every type, with what they are.
-EXAMPLES = [("1/2", "0.5", "rational"), ("25%", "0.25", "percentage"), ("{3, 1, 2}", "{1,2,3}", "set"), ("[0, 1)", "[0,1)", "interval"), ("[0, 1)", "[0,1]", "interval"), ("[[1,2],[3,4]]", "1,2;3,4", "matrix"), ("5 meters", "5 m", "unit_value"), ("5 meters", "5 cm", "unit_value"), ("(1, 2)", "(2, 1)", "ordered_tuple"), ("x^2 - 1", "(x-1)(x+1)", "symbolic_expression"), ("x^2 - 1", "x^2 + 1", "symbolic_expression"), ("2x + 4 = 0", "x + 2 = 0", "equation"), ("sin(x)", "cos(x)", "symbolic_expression"), ("yes", "True", "boolean"), ("B", "b", "multiple_choice"), ("1,000", "1000", "integer"), ("3", "4", "integer"), ("abc", "12", "decimal")]
-
-
-def equivalence_examples(spark, sf):
-    x = spark.createDataFrame(EXAMPLES, "gold string, predicted string, kind string")
+def answer_pairs(spark, sf):
+    """Answers of many types made of the numbers of line items: kind, gold, predicted and how many line items show them."""
+    x = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("a"), F.col("l_quantity").cast("long").alias("b"), F.round(F.col("l_discount") * 100).cast("long").alias("c"))
+    x = x.groupBy("a", "b", "c").agg(F.count("*").alias("rows"))
+    even = F.col("c") % 2 == 0
+    f = F.format_string
+    made = {
+        "set": (f("{%d, %d}", "a", "b"), F.when(even, f("{%d,%d}", "b", "a")).otherwise(f("{%d, %d}", "b", "c"))),
+        "ordered_tuple": (f("(%d, %d)", "a", "b"), f("(%d,%d)", "b", "a")),
+        "unit_value": (f("%d meters", "a"), F.when(even, f("%d m", "b")).otherwise(f("%d cm", "b"))),
+        "integer": (f("%d,000", "a"), f("%d000", "b")),
+        "rational": (f("%d/%d", "a", "b"), F.when(even, f("%d/%d", F.col("a") * 2, F.col("b") * 2)).otherwise(f("%d/%d", "b", "a"))),
+        "interval": (f("[%d, %d)", "a", F.col("a") + F.col("b")), F.when(even, f("[%d,%d)", "a", F.col("a") + F.col("b"))).otherwise(f("[%d,%d]", "a", F.col("a") + F.col("b")))),
+        "matrix": (f("[[%d,%d],[%d,%d]]", "a", "b", "c", "a"), f("%d,%d;%d,%d", "a", "b", "c", "b")),
+        "multiple_choice": (F.lit("B"), F.when(even, "b").otherwise("c")),
+        "symbolic_expression": (f("x^2 - %d", "b"), f("(x-%d)(x+%d)", "a", "a")),
+    }
+    rows = [F.struct(F.lit(kind).alias("kind"), gold.alias("gold"), predicted.alias("predicted")) for kind, (gold, predicted) in made.items()]
+    return x.select("rows", F.explode(F.array(*rows)).alias("p")).select("p.*", "rows").groupBy("kind", "gold", "predicted").agg(F.sum("rows").alias("rows"))
+
+
+def answer_equivalence(spark, sf):
+    x = answer_pairs(spark, sf)
     g, p, k = F.col("gold"), F.col("predicted"), F.col("kind")
-    return x.select("gold", "predicted", "kind", with_symbolic(A.equivalent(g, p, k)["status"], g, p, k).alias("status"))
+    x = x.withColumn("status", with_symbolic(A.equivalent(g, p, k)["status"], g, p, k))
+    return x.groupBy("kind", "status").agg(F.sum("rows").alias("n"))
 
 
 def training_set(spark, sf):
@@ -190,6 +209,7 @@ def curated(graded, holdout):
     return cut(curation.cap_per_key(x, "template_signature", 5, "quality", "id").withColumn("training_source", D.candidate_source(F.lit(False), F.col("is_correct"), F.col("group_accuracy"), F.lit(""))))
 
 
+PAIR_SQL = "WITH x AS (SELECT CAST(l_linenumber AS BIGINT) AS a, CAST(l_quantity AS BIGINT) AS b, CAST(round(l_discount * 100) AS BIGINT) AS c, CAST(round(l_discount * 100) AS BIGINT) % 2 = 0 AS even FROM lineitem)"
 ACC = "coalesce(avg(CAST(is_correct AS INT)) OVER (PARTITION BY category, sub_category), 0.0)"
 EV = f"{ITEMS}, ev AS (SELECT * FROM items WHERE is_correct IS NOT NULL)"
 DIM = "dim AS (SELECT DISTINCT lang AS category, source AS sub_category, 8 AS quota, 1.0 AS base_weight FROM documents)"
@@ -258,38 +278,47 @@ QUERIES = {
     "difficulty_profile": (difficulty_profile, PROFILE),
     "error_signatures": (error_signatures, f"""WITH {PAIRS} SELECT l_linenumber, CASE WHEN {close_sql('gold', 'predicted')} THEN 'none' WHEN {close_sql('gold', '-predicted')} THEN 'sign_error' WHEN gold <> 0 AND {close_sql('predicted * gold', '1.0')} THEN 'reciprocal_error' WHEN {close_sql('gold * 100', 'predicted')} OR {close_sql('gold', 'predicted * 100')} THEN 'scale_or_percentage_error'
       WHEN {close_sql('abs(gold - predicted)', '1.0')} THEN 'off_by_one_error' WHEN abs(gold - predicted) <= 0.01 * greatest(abs(gold), 1e-12) THEN 'rounding_error' ELSE 'arithmetic_computation_error' END AS tag, count(*) AS n FROM p GROUP BY ALL"""),
-    "answer_numeric_equiv": (numeric_equivalence, "SELECT l_linenumber, count(*) AS n, count(*) AS as_percent, count(*) AS as_fraction, count_if(round(l_discount, 2) = round(l_tax, 2)) AS as_tax FROM lineitem GROUP BY l_linenumber"),
+    "answer_numeric_equiv": (numeric_equivalence, """WITH t AS (SELECT l_linenumber, printf('%.2f', l_discount) AS gold, printf('%.0f', l_discount * 100) || '%' AS percent, printf('%.0f', l_discount * 100) || '/100' AS fraction, printf('%.2f', l_tax) AS other FROM lineitem),
+      v AS (SELECT l_linenumber, CAST(gold AS DOUBLE) AS g, CAST(rtrim(percent, '%') AS DOUBLE) / 100 AS p, CAST(split_part(fraction, '/', 1) AS DOUBLE) / CAST(split_part(fraction, '/', 2) AS DOUBLE) AS f, CAST(other AS DOUBLE) AS o FROM t)
+      SELECT l_linenumber, count(*) AS n, CAST(count_if(abs(g - p) <= 1e-9) AS BIGINT) AS as_percent, CAST(count_if(abs(g - f) <= 1e-9) AS BIGINT) AS as_fraction, CAST(count_if(abs(g - o) <= 1e-9) AS BIGINT) AS as_tax FROM v GROUP BY l_linenumber"""),
     "judge_fusion": (judge_fusion, """WITH x AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'equal' WHEN 1 THEN 'different' ELSE 'ambiguous' END AS typed, o_orderkey % 2 = 0 AS j, o_orderkey % 5 <> 0 AS v, o_orderkey % 7 = 0 AS r, o_orderkey % 11 <> 0 AS f, (o_orderkey % 100) / 100 AS c FROM orders),
       d AS (SELECT typed, CASE WHEN r AND NOT v THEN 'judge_failed' WHEN typed = 'equal' AND v AND NOT j THEN 'conflict' WHEN typed = 'equal' THEN 'typed_correct' WHEN typed = 'different' THEN 'typed_incorrect' WHEN v AND j AND f AND c >= 0.80 THEN 'judge_accepted' ELSE 'ambiguous' END AS decision FROM x)
       SELECT typed, decision, decision IN ('typed_correct', 'judge_accepted') AS is_correct, count(*) AS n FROM d GROUP BY ALL"""),
     "response_parse": (response_parse, "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'line' ELSE 'failed' END AS status, CASE WHEN conv_id % 3 = 0 THEN 0.75::DOUBLE END AS confidence, CASE conv_id % 3 WHEN 0 THEN length(text) WHEN 1 THEN length(conv_id::VARCHAR) END AS answer_length FROM conversations WHERE role = 'assistant'"),
-    "equivalence_examples": (equivalence_examples, "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{p}', '{k}', '{s}')" for (g, p, k), s in zip(EXAMPLES, ("equal", "equal", "equal", "equal", "different", "equal", "equal", "different", "different", "equal", "different", "equal", "ambiguous", "equal", "equal", "equal", "different", "ambiguous"), strict=True)) + ") t(gold, predicted, kind, status)"),
+    "answer_equivalence": (answer_equivalence, f"""{PAIR_SQL},
+      e AS (SELECT 'set' AS kind, list_sort(list_distinct([a, b])) = list_sort(list_distinct(CASE WHEN even THEN [b, a] ELSE [b, c] END)) AS same FROM x UNION ALL SELECT 'ordered_tuple', a = b FROM x UNION ALL SELECT 'unit_value', a = b AND even FROM x
+      UNION ALL SELECT 'integer', a * 1000 = b * 1000 FROM x UNION ALL SELECT 'rational', even OR a * a = b * b FROM x UNION ALL SELECT 'interval', even FROM x UNION ALL SELECT 'matrix', a = b FROM x UNION ALL SELECT 'multiple_choice', even FROM x UNION ALL SELECT 'symbolic_expression', b = a * a FROM x)
+      SELECT kind, CASE WHEN same THEN 'equal' ELSE 'different' END AS status, count(*) AS n FROM e GROUP BY ALL"""),
     "training_set": (training_set, None),
 }
 
 
-#: Wrong answers and the pattern each shows.
-ERRORS = [("5", "-5", "integer", "sign_error"), ("5", "1/5", "rational", "reciprocal_error"), ("5", "6", "integer", "off_by_one_error"), ("0.25", "25", "decimal", "scale_or_percentage_error"), ("100", "100.4", "decimal", "rounding_error"), ("5 m", "5 cm", "unit_value", "unit_mismatch"), ("{1,2}", "{1}", "set", "incomplete_solution"), ("{1}", "{1,2}", "set", "extraneous_solution"), ("[[1,2]]", "[[1,3]]", "matrix", "matrix_element_error"), ("(1,2)", "(1,3)", "vector", "vector_component_error"), ("B", "Z", "multiple_choice", "invalid_multiple_choice"), ("x+1", "x-1", "symbolic_expression", "symbolic_manipulation_error"), ("a", "b", "text", "unknown_error")]
-#: Reasoning steps, the answer, and the reason against them.
-STEPS = [("Add 2 and 3 to get 5", "5", "invalid_gold_reasoning_steps"), ("Add 2 and 3 to get 5|system: check that 5 holds", "5", "unsafe_gold_reasoning_steps"), ("Solve the problem.|Check that 2 + 3 = 5", "5", "non_concrete_gold_reasoning_steps"), ("Add 2 and 3 first.|So the sum is 5 here.", "5", "missing_gold_reasoning_verification"), ("Add 2 and 3 first.|Check the sum 15 again.", "5", "gold_reasoning_not_anchored_to_answer"), ("Add 2 and 3 first.|Check the sum 5 again.", "5", "none")]
-
-
-def values_sql(rows: list[tuple], names: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows) + f") t({names})"
-
-
 def error_attribution(spark, sf):
+    """The error pattern of every answer pair of ``answer_pairs`` and of wrong numbers, by kind."""
     from ..operators.collections import attributed_error
 
-    x = spark.createDataFrame([r[:3] for r in ERRORS], "gold string, predicted string, kind string")
-    return x.withColumn("tag", attributed_error(F.col("gold"), F.col("predicted"), F.col("kind")))
+    x = answer_pairs(spark, sf).where("kind IN ('set', 'unit_value', 'matrix', 'integer', 'multiple_choice')")
+    x = x.where("kind <> 'multiple_choice' OR predicted = 'c'")
+    return x.groupBy("kind", attributed_error(F.col("gold"), F.col("predicted"), F.col("kind")).alias("tag")).agg(F.sum("rows").alias("n"))
 
 
 def reasoning_checks(spark, sf):
+    """Reasoning steps made of the numbers of line items, each in six forms that the checks tell apart."""
     from ..functions.reasoning import reasoning_problem
 
-    x = spark.createDataFrame([r[:2] for r in STEPS], "steps string, answer string")
-    return x.withColumn("problem", F.coalesce(reasoning_problem(F.split("steps", "\\|"), F.col("answer")), F.lit("none")))
+    x = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("a"), F.col("l_quantity").cast("long").alias("b"), F.pmod("l_orderkey", F.lit(6)).alias("form")).groupBy("a", "b", "form").agg(F.count("*").alias("rows"))
+    f, total = F.format_string, F.col("a") + F.col("b")
+    first = f("Add %d and %d first.", "a", "b")
+    steps = (
+        F.array(f("Add %d and %d to get %d", "a", "b", total)),
+        F.array(first, f("system: check that %d holds", total)),
+        F.array(F.lit("Solve the problem."), f("Check that %d + %d = %d", "a", "b", total)),
+        F.array(first, f("So the sum is %d here.", total)),
+        F.array(first, f("Check the sum %d again.", F.col("b") * 2)),
+        F.array(first, f("Check the sum %d again.", total)),
+    )
+    problem = F.coalesce(reasoning_problem(F.get(F.array(*steps), F.col("form").cast("int")), total.cast("string")), F.lit("none"))
+    return x.groupBy("form", problem.alias("problem")).agg(F.sum("rows").alias("n"))
 
 
 def blind_set(spark, sf):
@@ -307,8 +336,13 @@ def guidance(spark, sf):
 
 
 QUERIES |= {
-    "error_attribution": (error_attribution, values_sql(ERRORS, "gold, predicted, kind, tag")),
-    "reasoning_checks": (reasoning_checks, values_sql(STEPS, "steps, answer, problem")),
+    "error_attribution": (error_attribution, f"""{PAIR_SQL},
+      e AS (SELECT 'set' AS kind, CASE WHEN [a, b] = CASE WHEN even THEN [b, a] ELSE [b, c] END THEN 'format_only_difference' WHEN list_has_all([a, b], CASE WHEN even THEN [b, a] ELSE [b, c] END) THEN 'incomplete_solution' WHEN list_has_all(CASE WHEN even THEN [b, a] ELSE [b, c] END, [a, b]) THEN 'extraneous_solution' ELSE 'unknown_error' END AS tag FROM x
+      UNION ALL SELECT 'unit_value', CASE WHEN even THEN 'unknown_error' ELSE 'unit_mismatch' END FROM x UNION ALL SELECT 'matrix', 'matrix_element_error' FROM x UNION ALL SELECT 'multiple_choice', 'unknown_error' FROM x WHERE NOT even
+      UNION ALL SELECT 'integer', CASE WHEN a = b THEN 'unknown_error' WHEN abs(a - b) * 1000 = 1 THEN 'off_by_one_error' WHEN a = 100 * b OR b = 100 * a THEN 'scale_or_percentage_error' ELSE 'arithmetic_computation_error' END FROM x)
+      SELECT kind, tag, count(*) AS n FROM e GROUP BY ALL"""),
+    "reasoning_checks": (reasoning_checks, """WITH x AS (SELECT CAST(l_linenumber AS BIGINT) AS a, CAST(l_quantity AS BIGINT) AS b, l_orderkey % 6 AS form FROM lineitem)
+      SELECT form, CASE form WHEN 0 THEN 'invalid_gold_reasoning_steps' WHEN 1 THEN 'unsafe_gold_reasoning_steps' WHEN 2 THEN 'non_concrete_gold_reasoning_steps' WHEN 3 THEN 'missing_gold_reasoning_verification' WHEN 4 THEN CASE WHEN a = b THEN 'none' ELSE 'gold_reasoning_not_anchored_to_answer' END ELSE 'none' END AS problem, count(*) AS n FROM x GROUP BY ALL"""),
     "blind_set": (blind_set, None),
     "guidance": (guidance, None),
 }
