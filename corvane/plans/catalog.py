@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "corpus_summary"
-MODULES = ("text_queries", "policy_queries", "stat_queries", "state_queries")
+MODULES = ("text_queries", "policy_queries", "stat_queries", "state_queries", "composite_queries")
 
 
 def registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

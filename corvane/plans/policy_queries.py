@@ -161,7 +161,7 @@ def response_parse(spark, sf):
     return c.select("conv_id", "turn", p["status"].alias("status"), p["confidence"].alias("confidence"), F.length(p["final_answer"]).alias("answer_length"))
 
 
-def answer_pairs(spark, sf):
+def typed_answers(spark, sf):
     """Answers of many types made of the numbers of line items: kind, gold, predicted and how many line items show them."""
     x = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("a"), F.col("l_quantity").cast("long").alias("b"), F.round(F.col("l_discount") * 100).cast("long").alias("c"))
     x = x.groupBy("a", "b", "c").agg(F.count("*").alias("rows"))
@@ -183,7 +183,7 @@ def answer_pairs(spark, sf):
 
 
 def answer_equivalence(spark, sf):
-    x = answer_pairs(spark, sf)
+    x = typed_answers(spark, sf)
     g, p, k = F.col("gold"), F.col("predicted"), F.col("kind")
     x = x.withColumn("status", with_symbolic(A.equivalent(g, p, k)["status"], g, p, k))
     return x.groupBy("kind", "status").agg(F.sum("rows").alias("n"))
@@ -294,10 +294,10 @@ QUERIES = {
 
 
 def error_attribution(spark, sf):
-    """The error pattern of every answer pair of ``answer_pairs`` and of wrong numbers, by kind."""
+    """The error pattern of every answer pair of ``typed_answers`` and of wrong numbers, by kind."""
     from ..operators.collections import attributed_error
 
-    x = answer_pairs(spark, sf).where("kind IN ('set', 'unit_value', 'matrix', 'integer', 'multiple_choice')")
+    x = typed_answers(spark, sf).where("kind IN ('set', 'unit_value', 'matrix', 'integer', 'multiple_choice')")
     x = x.where("kind <> 'multiple_choice' OR predicted = 'c'")
     return x.groupBy("kind", attributed_error(F.col("gold"), F.col("predicted"), F.col("kind")).alias("tag")).agg(F.sum("rows").alias("n"))
 

@@ -16,7 +16,7 @@ from corvane.functions import difficulty as D
 from corvane.functions import numeric as N
 from corvane.functions import taxonomy as X
 from corvane.functions import text as T
-from corvane.operators import agreement, allocate, audit, calibration, curation, equivalence, ledger, pairs, pool, split, stats, study, summary
+from corvane.operators import agreement, allocate, audit, calibration, composites, curation, equivalence, ledger, pairs, pool, split, stats, study, summary
 from corvane.sources import readers, writers
 from corvane.streaming import events
 
@@ -343,6 +343,34 @@ def test_upserts_keep_what_other_batches_wrote(spark, tmp_path):
     assert {r.k for r in got} == {1, 2, 3} and len(got) == 3 and next(r.v for r in got if r.k == 2) == "b"
 
 
+def test_composites_fail_closed(spark, tmp_path):
+    """Short pools, targets that are no whole blocks and dimensions out of range are errors; tables are written whole."""
+    rows = spark.createDataFrame([(k, "correct_retention_samples" if k % 3 == 0 else "other") for k in range(30)], "id long, source string")
+    got = composites.matched_cap(rows, "source", [F.col("id")], 12).collect()
+    assert sorted(r.id for r in got) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 13]
+    for target in (13, 400):
+        with pytest.raises(ValueError):
+            composites.matched_cap(rows, "source", [F.col("id")], target)
+    kind = "k long, d map<string, struct<normalized: double, value: double>>"
+    sound = {n: (0.5, None) for n in composites.SCALES} | {"operation_count": (None, 10.0)}
+    assert tuple(composites.dimension_matrix(spark.createDataFrame([(1, sound)], kind), "k", "d").first()) == (1, 0.5, 0.5, 0.5, 0.5, 0.5)
+    for bad in ({}, sound | {"reasoning_steps": (None, 11.0)}, sound | {"symbolic_depth": (None, None)}, sound | {"symbolic_depth": (-0.1, None)}):
+        with pytest.raises(ValueError):
+            composites.dimension_matrix(spark.createDataFrame([(1, bad)], kind), "k", "d")
+    long = spark.createDataFrame([(m, s, c, q, str(q % 2), str(q % 3), q % 4, (q + s + c + (m == "full")) % 3 > 0) for m in ("base", "full") for s in (1, 2) for c in (0, 1) for q in range(12)], "method string, seed int, cycle int, question_id int, category string, sub_category string, difficulty int, is_correct boolean")
+    tables = composites.paper_tables(long, "base", [("base", "full")])
+    assert composites.write_tables(tables, f"{tmp_path}/tables") == {"results_long": 96, "run_summary": 4, "main_results": 2, "ablation_results": 1, "category_results": 4, "difficulty_results": 8, "efficiency_results": 4, "significance_tests": 1}
+
+
+def test_a_sample_seen_again_is_active(spark):
+    old = spark.createDataFrame([("a", "c", "s", "train_eligible", "mastered", 2, 1, 1, 3, 0)], "unique_key string, category string, sub_category string, grade string, state string, streak int, last_seen_cycle int, last_iteration int, occurrences int, failures int")
+    new = spark.createDataFrame([("a", "c", "s", "easy_sample", 2, 1)], "unique_key string, category string, sub_category string, grade string, cycle int, iteration int")
+    for _ in range(2):  # the same delivery again changes nothing
+        old = pool.merge(old, new)
+        r = old.first()
+        assert (r.state, r.streak, r.occurrences, r.grade) == ("active", 0, 4, "easy_sample")
+
+
 def test_greedy_choice_is_whole_or_fails(spark):
     """A chain keeps every second node however many rounds it takes; a limit that is too low is an error."""
     nodes = spark.range(9).select(F.col("id").alias("rank"))
