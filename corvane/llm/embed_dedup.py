@@ -29,6 +29,8 @@ MOST = 4_096
 PLAN = {1: (4, 2), 2: (6, 4), 3: (10, 7), 4: (16, 12)}
 TOP = 4  # corners that probes are made of, for each hash
 SEED = 11
+#: A cell: vectors of one size and bucket, of two of its blocks.
+KEYS = ("bucket", "size", "i", "j")
 
 
 def hashes_for(n: int) -> int:
@@ -154,7 +156,9 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, most: int
     sound = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("sound", sound)
     classes = rows.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
-    classes = common.staged(classes.withColumn("cid", F.concat(F.hex(F.xxhash64("embedding")), F.lit("-"), F.hex(F.hash("embedding")))), "vectors")
+    # A class's name begins with its least id, in an order that text keeps, so a component's least name tells its id.
+    at = F.coalesce(F.lpad(F.hex(F.col("least").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("~"))
+    classes = common.staged(classes.withColumn("cid", F.concat_ws("-", at, F.hex(F.xxhash64("embedding")), F.hex(F.hash("embedding")))), "vectors")
     k = hashes_for(classes.count())
     plan = (k, *PLAN[k])
 
@@ -170,15 +174,15 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, most: int
                     keys = keys_of(np.stack([units[i] for i in index]), *plan)
                     n, tables, each = keys.shape
                     row = pa.array(np.repeat(np.array(index), tables * each))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.tile(np.arange(each) == 0, n * tables)), part.column("cid").take(row), part.column("weight").take(row), part.column("embedding").take(row)], ["bucket", "own", "cid", "weight", "embedding"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.full(len(row), len(units[index[0]]), np.int32)), pa.array(np.tile(np.arange(each) == 0, n * tables)), part.column("cid").take(row), part.column("weight").take(row), part.column("embedding").take(row)], ["bucket", "size", "own", "cid", "weight", "embedding"])
 
-    schema = "bucket long, own boolean, cid string, weight long, embedding array<double>"
+    schema = "bucket long, size int, own boolean, cid string, weight long, embedding array<double>"
     placed = classes.select("cid", "weight", "embedding").mapInArrow(spread, schema)
-    large = placed.groupBy("bucket").count().where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    large = placed.groupBy("bucket", "size").count().where(F.col("count") > most).select("bucket", "size", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
     large = common.staged(large, "buckets")
-    cells = placed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cells = placed.join(large, ["bucket", "size"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cells = cells.withColumn("block", F.pmod(F.hash("cid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "cid", "weight", F.col("embedding").cast("array<float>").alias("narrow"), "embedding")
+    cells = cells.select("bucket", "size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "cid", "weight", F.col("embedding").cast("array<float>").alias("narrow"), "embedding")
     cells = cells.withColumn("embedding", F.when(F.col("narrow").cast("array<double>") == F.col("embedding"), None).otherwise(F.col("embedding")))
 
     def cell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +191,7 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, most: int
             t = pa.Table.from_batches([batch])
             if held is not None:
                 t = pa.concat_tables([held, t])
-            key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            key = np.stack([t.column(c).to_numpy() for c in KEYS])
             change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             if not len(change):
                 held = t
@@ -197,13 +201,13 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, most: int
         if held is not None and held.num_rows:
             yield from _linked(held, plan, threshold)
 
-    found = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(cell, "a string, b string, n long")
+    found = cells.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(cell, "a string, b string, n long")
     found = common.staged(found, "links")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     parts = common.components(found.where("b IS NOT NULL").select("a", "b"))
-    known = classes.join(counts, classes["cid"] == counts["a"], "left").join(parts, F.col("cid") == F.col("id"), "left").select("embedding", "least", F.col("cid"), F.coalesce("root", "cid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    lowest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(lowest, "root").select("embedding", "n_links", "component_id").withColumn("sound", F.lit(True))
+    known = classes.join(counts, classes["cid"] == counts["a"], "left").join(parts, F.col("cid") == F.col("id"), "left").select("embedding", F.coalesce("root", "cid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    least = (F.conv(F.substring("root", 1, 16), 16, 10).cast("decimal(20, 0)") - F.lit(str(1 << 63)).cast("decimal(20, 0)")).cast("long")
+    known = known.select("embedding", "n_links", F.when(~F.col("root").startswith("~"), least).alias("component_id"), F.lit(True).alias("sound"))
     out = rows.join(known, ["embedding", "sound"], "left")
     component = F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
@@ -211,7 +215,7 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, most: int
 
 def _linked(t: pa.Table, plan: tuple[int, int, int], threshold: float) -> Iterator[pa.RecordBatch]:
     """Counts (a, null, n) and forest edges (a, b, 0) of whole cells in order."""
-    key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+    key = np.stack([t.column(c).to_numpy() for c in KEYS])
     starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
     sizes = np.diff(starts)
     if not (sizes > 1).any():

@@ -55,7 +55,7 @@ def vectors():
     rows += [(6000 + i, list(map(float, center))) for i in range(30)]
     rows += [(7000, None), (7001, []), (7002, [0.0] * 24), (7003, [float("nan")] * 24), (7004, [1.0, None] * 12), (7005, [float("inf")] + [1.0] * 23), (7006, [0.0] * 24)]
     rows += [(7010, [1.0, 2.0]), (7011, [2.0, 4.0]), (7012, [1.0]), (7013, [3.0]), (7014, [-3.0]), (7015, [1.0, 2.0, 0.0])]
-    rows += [(None, list(map(float, center))), (None, far(1, 24)[0]), (7020, [1e300] * 24), (7021, [1e-300] * 24), (5, rows[6][1])]
+    rows += [(None, list(map(float, center))), (None, far(1, 24)[0]), (7020, [1e300] * 24), (7021, [1e-300] * 24), (5, rows[6][1]), (-3, rows[9][1]), (-(1 << 63), rows[12][1]), ((1 << 63) - 1, rows[12][1])]
     return rows
 
 
@@ -70,6 +70,14 @@ def test_equals_all_pairs(spark, vectors, most):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+def test_unlike_sizes_of_one_bucket(spark, monkeypatch):
+    """Buckets are told apart by the vectors' size too, whatever numbers their hashes make."""
+    monkeypatch.setattr(embed_dedup, "keys_of", lambda x, k, tables, probes: np.zeros((len(x), tables, probes), np.int64))
+    rows = [(i, [float(i % 3 == k) for k in range(2 + i % 4)] + [1.0]) for i in range(40)]
+    got = embed_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert order([(r.vec_id, r.component_id) for r in got]) == order([(w[0], w[2]) for w in brute(rows)])
+
+
 def test_empty_table(spark):
     assert embed_dedup.dedup_embeddings(spark.createDataFrame([], SCHEMA)).count() == 0
 
