@@ -38,6 +38,8 @@ GOLAY = 0b101011100011
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Distinct fingerprints from which two blocks are joined.
 JOIN_FROM = 1 << 24
+#: Fingerprints of one block of an anchor.
+MOST = 8_192
 #: Shingles that are counted in one go.
 CHUNK = 1 << 16
 
@@ -182,9 +184,10 @@ def forest(fp: np.ndarray, threshold: int = THRESHOLD, block: int = 1 << 20) ->
     return out
 
 
-def links(prints: DataFrame, n: int) -> DataFrame:
-    """A spanning set of the links (a, b) among ``n`` distinct fingerprints (column fp)."""
-    joined = n >= JOIN_FROM
+def links(prints: DataFrame, n: int, most: int = MOST, join_from: int = JOIN_FROM) -> DataFrame:
+    """A spanning set of the links (a, b) among ``n`` distinct fingerprints (column fp). An anchor of over ``most`` of them is
+    dealt to cells, each of two blocks, so that no task holds more than two blocks of a hot anchor at once."""
+    joined = n >= join_from
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +207,11 @@ def links(prints: DataFrame, n: int) -> DataFrame:
                     b.append(fp[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], ["a", "b"])
 
-    buckets = prints.select("fp").mapInArrow(spread, "anchor long, fp long").groupBy("anchor").agg(F.collect_list("fp").alias("fps"))
+    placed = prints.select("fp").mapInArrow(spread, "anchor long, fp long")
+    large = placed.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    cells = placed.join(common.staged(large, "anchors"), "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    buckets = cells.groupBy("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
     return buckets.where(F.size("fps") > 1).select("fps").mapInArrow(compare, "a long, b long").distinct()
 
 

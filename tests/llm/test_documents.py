@@ -251,8 +251,10 @@ def test_every_word_has_a_golay_anchor_within_three():
     assert (np.bitwise_count(x[row] ^ word) <= 3).all() and (simhash.anchors().syndrome(word) == 0).all()
 
 
-def test_chains_and_hot_groups(spark):
-    """A chain of near fingerprints is one component; a dense group is linked without all its pairs."""
+@pytest.mark.parametrize(("most", "join_from"), [(8_192, 1 << 24), (150, 1 << 24), (8_192, 1)])
+def test_chains_and_hot_groups(spark, most, join_from):
+    """A chain of near fingerprints is one component; a dense group is linked without all its pairs; anchors dealt to blocks and
+    the plan of two joined blocks give the same components."""
     rng = np.random.default_rng(6)
     center = int(rng.integers(1 << 62))
     dense = {center} | {center ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(0, 64, (3_000, 2))}
@@ -260,8 +262,8 @@ def test_chains_and_hot_groups(spark):
     for k in range(12):
         chain.append(chain[-1] ^ 0b1111 << 4 * k)
     signed = np.array([*dense, *chain], np.uint64).view(np.int64).tolist()
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(4), len(signed))
-    assert edges.count() < 16 * len(signed)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(4), len(signed), most, join_from)
+    assert edges.count() < 60 * len(signed)
     roots = {r.id: r.root for r in common.components(edges).collect()}
     assert len({roots[x] for x in signed[: len(dense)]}) == 1 and len({roots[x] for x in signed[len(dense) :]}) == 1
 
