@@ -38,10 +38,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (4 differing bits, or a five-word similarity of 0.8), that of the
     smallest doc_id. Rows are judged by their text: unlike texts that share a doc_id all stay, a repeated row stays once."""
-    keep = near_copies.representatives(docs).select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
-    marked = docs.select(*COLUMNS, F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
-    chosen = marked.join(keep, (F.col("mark") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "mark"]).select(*COLUMNS)
+    row = lambda mark: F.concat_ws(" ", mark, F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias("row")
+    keep = near_copies.representatives(docs).select(row(F.col("mark")))
+    marked = docs.select(*COLUMNS, row(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    return marked.join(keep, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)  # by one key, so texts are dealt once
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
