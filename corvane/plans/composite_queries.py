@@ -8,7 +8,7 @@ from ..operators import composites as C
 from ..operators import pool
 from .base import facts, facts_sql
 from .policy_queries import rounded
-from .stat_queries import PAIRS
+from .stat_queries import PAIRS, REVIEW
 from .stat_queries import QUERIES as STATS
 from .stat_queries import panel, reviews
 from .state_queries import POOL, attempts, first_pool
@@ -45,7 +45,7 @@ def significance(spark, sf):
 
 
 def review_report(spark, sf):
-    return rounded(C.review_report(reviews(spark, sf), {"kappa": 0.5, "accuracy": 0.6, "macro_f1": 0.9}), "value", digits=5)
+    return rounded(C.review_report(reviews(spark, sf), {"kappa": 0.5, "accuracy": 0.6, "macro_f1": 0.9}), "value")
 
 
 def calibration_report(spark, sf):
@@ -105,10 +105,11 @@ def metric_sql(query: str, *names: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM ({STATS[query][1]})" for n in names)
 
 
+LABELS = f"WITH {REVIEW}, g AS (SELECT one AS label, sum(weight) AS support, sum(CASE WHEN one = system THEN weight ELSE 0 END) AS hits FROM rv GROUP BY 1), s AS (SELECT system AS label, sum(weight) AS said FROM rv GROUP BY 1) SELECT label, hits / said AS p, hits / support AS r FROM g JOIN s USING (label)"
 REVIEWED = f"""WITH all_metrics AS ({metric_sql('cohen_kappa', 'observed', 'expected', 'kappa')} UNION ALL SELECT 'f1:' || label, f1 FROM ({STATS['confusion_prf'][1]})
-  UNION ALL SELECT 'macro_precision', avg(precision) FROM ({STATS['confusion_prf'][1]}) UNION ALL SELECT 'macro_recall', avg(recall) FROM ({STATS['confusion_prf'][1]}) UNION ALL SELECT 'macro_f1', avg(f1) FROM ({STATS['confusion_prf'][1]})
+  UNION ALL SELECT 'macro_precision', avg(p) FROM ({LABELS}) UNION ALL SELECT 'macro_recall', avg(r) FROM ({LABELS}) UNION ALL SELECT 'macro_f1', avg(2 * p * r / (p + r)) FROM ({LABELS})
   UNION ALL {metric_sql('selective_metrics', 'accuracy', 'selective_coverage', 'selective_accuracy', 'evidence_coverage', 'brier', 'high_confidence_accuracy')})
-  SELECT metric, round(value, 5) AS value FROM all_metrics UNION ALL SELECT 'gate:' || metric, CASE WHEN value >= CASE metric WHEN 'kappa' THEN 0.5 WHEN 'accuracy' THEN 0.6 ELSE 0.9 END THEN 1.0 ELSE 0.0 END FROM all_metrics WHERE metric IN ('kappa', 'accuracy', 'macro_f1')"""
+  SELECT metric, round(value, 6) AS value FROM all_metrics UNION ALL SELECT 'gate:' || metric, CASE WHEN value >= CASE metric WHEN 'kappa' THEN 0.5 WHEN 'accuracy' THEN 0.6 ELSE 0.9 END THEN 1.0 ELSE 0.0 END FROM all_metrics WHERE metric IN ('kappa', 'accuracy', 'macro_f1')"""
 EVIDENCE = f"WITH {POOL}, k AS (SELECT *, CAST(unique_key AS BIGINT) AS k FROM p WHERE grade = 'train_eligible')"
 
 QUERIES = {
