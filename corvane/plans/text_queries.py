@@ -77,7 +77,8 @@ def hashed_texts(spark, sf):
 
 
 def minhash_signature(spark, sf):
-    return hashed_texts(spark, sf).select("item_id", F.array_join(T.minhash(F.col("s"), PERMUTATIONS), ",").alias("signature"))
+    signed = hashed_texts(spark, sf).withColumn("sig", T.minhash(F.col("s"), PERMUTATIONS))
+    return signed.select("item_id", F.array_join("sig", ",").alias("signature"))
 
 
 def minhash_pairs(spark, sf):
